@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import licenses, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +41,13 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM a
 """
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"]).drop("spans")
+
+
 QUERIES = {
     "op7_quality_cascade": op7_quality_cascade,
+    "op8_license_scan": op8_license_scan,
 }
 ORACLES = {
     "op7_quality_cascade": OP7_SQL,
