@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, quality
+from . import licenses, quality, warc
+from .storage import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +46,27 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), ["doc_id"]).drop("spans")
 
 
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive, index = new_path(spark, "warc"), new_path(spark, "warc-index")
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), archive)
+    directory = warc.build_index(manifest, index)
+    return warc.read_archives(spark, directory, index, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+b AS (SELECT payload_digest, max(page_id) AS best FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < best THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < best THEN best END AS refers_to
+FROM p LEFT JOIN b USING (payload_digest)
+"""
+
 QUERIES = {
     "op7_quality_cascade": op7_quality_cascade,
     "op8_license_scan": op8_license_scan,
+    "op10_warc_index": op10_warc_index,
 }
 ORACLES = {
     "op7_quality_cascade": OP7_SQL,
+    "op10_warc_index": OP10_SQL,
 }
