@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, quality, warc
+from . import licenses, quality, sketches, warc
 from .storage import new_path
 
 
@@ -53,6 +53,10 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, directory, index, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.against_next(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 b AS (SELECT payload_digest, max(page_id) AS best FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
@@ -64,6 +68,7 @@ FROM p LEFT JOIN b USING (payload_digest)
 QUERIES = {
     "op7_quality_cascade": op7_quality_cascade,
     "op8_license_scan": op8_license_scan,
+    "op9_threshold_sketch": op9_threshold_sketch,
     "op10_warc_index": op10_warc_index,
 }
 ORACLES = {
