@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, quality, sketches, warc
+from . import licenses, mixing, quality, sketches, warc
 from .storage import new_path
 
 
@@ -53,6 +53,28 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, directory, index, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
+    return mixed.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 9).alias("weight"), F.col("mix_copy").alias("copy"), F.col("mix_block").alias("block"), "block_key", "doc_key")
+
+
+OP6_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORDS}))::BIGINT AS n, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS id FROM documents),
+s AS (SELECT source, sum(n)::BIGINT AS t FROM d GROUP BY source),
+x AS (SELECT max(t)::DOUBLE AS top, min(t) FILTER (t > 0)::DOUBLE AS low FROM s),
+a AS (SELECT top, CASE WHEN top / low <= {mixing.REPETITION} THEN 0.0 ELSE 1 - ln({mixing.REPETITION}) / ln(top / low) END AS a FROM x),
+w AS (SELECT source, t, CASE WHEN t > 0 THEN pow(t / top, a) ELSE 0 END AS u, CASE WHEN t > 0 THEN round(pow(top / t, 1 - a), 9) ELSE 1 END AS reads,
+  greatest(1, ((t + {mixing.BLOCK_TOKENS - 1}) // {mixing.BLOCK_TOKENS})) AS blocks FROM s, a),
+b AS (SELECT d.*, round(u / (SELECT sum(u) FROM w), 9) AS weight, reads, floor(reads)::BIGINT AS f,
+  ('0x' || substr(md5('block/' || id), 1, 8))::BIGINT % blocks AS block FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source),
+c AS (SELECT *, sum(n) OVER (PARTITION BY source, block) AS total, sum(n) OVER (PARTITION BY source, block ORDER BY md5('doc/' || f || '/' || id), n ROWS UNBOUNDED PRECEDING) - n AS before FROM b),
+u AS (SELECT *, f + (n > 0 AND round((reads - f) * total) > 0 AND 2 * before + n <= 2 * round((reads - f) * total))::BIGINT AS uses FROM c),
+e AS (SELECT *, unnest(range(0, uses)) AS copy FROM u)
+SELECT doc_id, source, n AS n_tokens, weight, copy::INTEGER AS copy, block::BIGINT AS block, md5('order/' || copy || '/' || coalesce(source, '') || '/' || block) AS block_key,
+  md5('doc/' || copy || '/' || id) AS doc_key FROM e
+"""
+
+
 def op9_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.against_next(table(spark, sf_dir, "documents"))
 
@@ -66,12 +88,14 @@ FROM p LEFT JOIN b USING (payload_digest)
 """
 
 QUERIES = {
+    "op6_temperature_mixing": op6_temperature_mixing,
     "op7_quality_cascade": op7_quality_cascade,
     "op8_license_scan": op8_license_scan,
     "op9_threshold_sketch": op9_threshold_sketch,
     "op10_warc_index": op10_warc_index,
 }
 ORACLES = {
+    "op6_temperature_mixing": OP6_SQL,
     "op7_quality_cascade": OP7_SQL,
     "op10_warc_index": OP10_SQL,
 }
