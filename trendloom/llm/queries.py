@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, sketches, warc
+from . import licenses, mixing, quality, sketches, toxicity, warc
 from .storage import new_path
 
 
@@ -53,6 +53,17 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, directory, index, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def held_out(doc_id: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~held_out()))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
     return mixed.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 9).alias("weight"), F.col("mix_copy").alias("copy"), F.col("mix_block").alias("block"), "block_key", "doc_key")
@@ -88,6 +99,7 @@ FROM p LEFT JOIN b USING (payload_digest)
 """
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op6_temperature_mixing": op6_temperature_mixing,
     "op7_quality_cascade": op7_quality_cascade,
     "op8_license_scan": op8_license_scan,
