@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, sketches, toxicity, warc
+from . import licenses, mixing, ngram_join, quality, sketches, toxicity, warc
 from .storage import new_path
 
 
@@ -53,6 +53,10 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, directory, index, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -99,6 +103,7 @@ FROM p LEFT JOIN b USING (payload_digest)
 """
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op6_temperature_mixing": op6_temperature_mixing,
     "op7_quality_cascade": op7_quality_cascade,
