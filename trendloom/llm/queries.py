@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, ngram_join, quality, sketches, toxicity, warc
+from . import bpe_automaton, licenses, mixing, ngram_join, quality, sketches, toxicity, warc
 from .storage import new_path
 
 
@@ -68,6 +68,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = bpe_automaton.count_tokens(table(spark, sf_dir, "documents"), ["doc_id"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
     return mixed.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 9).alias("weight"), F.col("mix_copy").alias("copy"), F.col("mix_block").alias("block"), "block_key", "doc_key")
@@ -103,6 +108,7 @@ FROM p LEFT JOIN b USING (payload_digest)
 """
 
 QUERIES = {
+    "op4_token_counts": op4_token_counts,
     "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op6_temperature_mixing": op6_temperature_mixing,
