@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, licenses, mixing, ngram_join, quality, sketches, toxicity, warc
+from . import bpe_automaton, licenses, mixing, nbest, ngram_join, quality, sketches, toxicity, warc
 from .storage import new_path
 
 
@@ -53,6 +53,11 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, directory, index, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op1_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = nbest.encode(table(spark, sf_dir, "documents"), ["doc_id"])
+    return coded.select("doc_id", "n_pieces", "scores", F.size("nbest").alias("n_best"), F.expr("transform(nbest, x -> size(x.changes))").alias("n_changes"), "ids_sha256", "decoded_sha256", "round_trip")
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -108,6 +113,7 @@ FROM p LEFT JOIN b USING (payload_digest)
 """
 
 QUERIES = {
+    "op1_nbest_pieces": op1_nbest_pieces,
     "op4_token_counts": op4_token_counts,
     "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
