@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, licenses, mixing, nbest, ngram_join, quality, sketches, toxicity, warc
+from . import bpe_automaton, licenses, mixing, nbest, ngram_join, quality, sketches, suffix_runs, toxicity, warc
 from .storage import new_path
 
 
@@ -78,6 +78,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_runs.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"], with_text=False)
+
+
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"])
     return mixed.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_tokens").alias("n_tokens"), F.round("mix_weight", 9).alias("weight"), F.col("mix_copy").alias("copy"), F.col("mix_block").alias("block"), "block_key", "doc_key")
@@ -113,6 +117,7 @@ FROM p LEFT JOIN b USING (payload_digest)
 """
 
 QUERIES = {
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op1_nbest_pieces": op1_nbest_pieces,
     "op4_token_counts": op4_token_counts,
     "op2_ngram_join": op2_ngram_join,

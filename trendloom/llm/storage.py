@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,3 +47,9 @@ def drop(*tables: DataFrame) -> None:
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that cut() has made tables of and that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
