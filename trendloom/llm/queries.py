@@ -116,7 +116,14 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < best THEN 're
 FROM p LEFT JOIN b USING (payload_digest)
 """
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op1_nbest_pieces": op1_nbest_pieces,
     "op4_token_counts": op4_token_counts,
