@@ -10,11 +10,15 @@ the two, which either's prefix contains.
 Global order: estimated frequency class (rarest first), then hash. The sketch counts every shingle of every document in
 SKETCH counters; its size is fixed, and any order gives the same result, so its error only costs time.
 
-Sets that are equal are joined as one. Groups of near copies would still make postings in which every document meets every
-other, so links are found in two passes over the same postings: first each document is verified against the least
-document that its prefix shares postings with (one pair for each), and what that links is merged; then pairs are made
-between merged groups only, never within one, and verified when they share enough prefix shingles. The second
-pass meets every pair of documents of different groups, so components are exact.
+Sets that are equal are joined as one. A group of near copies would still make postings in which every document meets every
+other, so links are found in two passes over the same postings. First each document that shares much of its prefix with the
+least document of its postings, its pivot, is compared with that: what it lacks of the pivot and what it has besides. Two documents of
+one pivot P, that differ from it by r and e shingles and share d of those differences, overlap in |P| - r1 - r2 + d, so
+they link exactly if w1 + w2 - (num + den) * d <= (den - num) * |P| with w = den * r + num * e. If d is 0 both link with P or neither
+does; if not, they meet in a join of the differences, in which again only prefixes (additions, the rare ones, first) take
+part. That decides all pairs of one pivot without making them. The second pass makes pairs of documents of different
+pivots and different components only, and verifies those that share enough prefix shingles. Every pair is met in one of the two
+passes, so components are exact.
 
 Nulls, empty and wordless texts have the empty set and link with nothing. A null id takes no part and has no component.
 Rows with one id and different texts are joined under that id. Ids must be longs.
@@ -144,8 +148,8 @@ def prefixes(docs: DataFrame, freq: np.ndarray, k: int, num: int, den: int) -> D
     return docs.mapInArrow(run, "id long, n long, m int, base int, tokens array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold. Sets are made for the texts that the pairs name, and no others."""
+def with_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) with both sets, x and y. Sets are made for the texts that the pairs name, and no others."""
     pairs = cut(pairs.select("a", "b"), "ngram-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
@@ -160,23 +164,53 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> D
             hit = np.flatnonzero((filled[at >> 6] >> (at & 63)) & 1)
             if len(hit):
                 some = b.take(pa.array(hit))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.tobytes() for s in sets_of(some.column(1), k)], pa.binary())], ["id", "shingles"])
+                sets = [s.view(np.int64) for s in sets_of(some.column(1), k)]
+                off = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(sets)))], ["id", "shingles"])
 
-    made = docs.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))).mapInArrow(run, "id long, shingles binary")
+    made = docs.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))).mapInArrow(run, "id long, shingles array<long>")
     sets = made.join(ids, "id", "left_semi")
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    return left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, K.U), np.frombuffer(y, K.U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    full = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return cut(full.mapInArrow(judge, "a long, b long"), "ngram-links")
+def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold."""
+    full = with_sets(docs, pairs, k).withColumn("both", F.size(F.array_intersect("x", "y")))
+    alike = F.col("both") * den >= (F.size("x") + F.size("y") - F.col("both")) * num
+    return cut(full.where(alike).select("a", "b"), "ngram-links")
+
+
+def around_pivots(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """pairs: a and its pivot b. Returns the links (a, b) among documents of one pivot, and (a, b) of those that are decided."""
+    full = with_sets(docs, pairs, k).select("a", "b", F.size("y").alias("size"), F.array_except("y", "x").alias("lacks"), F.array_except("x", "y").alias("adds"))
+    full = full.withColumns({"w": den * F.size("lacks") + num * F.size("adds"), "t": (den - num) * F.col("size")}).where("w <= 2 * t")
+    told = cut(full, "ngram-pivots")
+    direct = told.where("w <= t").select("a", "b")
+    # A pair is looked for where one of the two doesn't link with the pivot; of their common differences there are then more than w / (num + den).
+    tokens = told.select("a", "b", (F.col("w") > F.col("t")).alias("far"), (F.size("adds") + F.size("lacks") - F.floor(F.col("w") / (num + den))).alias("ahead"), F.posexplode(F.concat(
+        F.transform("adds", lambda v: F.struct(v.alias("v"), F.lit(True).alias("added"))), F.transform("lacks", lambda v: F.struct(v.alias("v"), F.lit(False).alias("added"))))).alias("at", "d"))
+    tokens = tokens.select("a", "b", "far", (F.col("at") < F.col("ahead")).alias("ahead"), "d.v", "d.added")
+    one = tokens.where("far").select("b", "v", "added", F.col("a").alias("x"), F.col("ahead").alias("x_ahead"))
+    two = tokens.where("ahead").select("b", "v", "added", F.col("a").alias("y"), F.col("far").alias("y_far"))
+    met = one.join(two, ["b", "v", "added"]).where("x <> y AND (NOT y_far OR (x_ahead AND x < y))").select("b", "x", "y").distinct()
+    p = met.join(told.select("b", F.col("a").alias("x"), F.col("w").alias("w1"), F.col("lacks").alias("l1"), F.col("adds").alias("a1"), "t"), ["b", "x"])
+    p = p.join(told.select("b", F.col("a").alias("y"), F.col("w").alias("w2"), F.col("lacks").alias("l2"), F.col("adds").alias("a2")), ["b", "y"])
+    common = F.size(F.array_intersect("l1", "l2")) + F.size(F.array_intersect("a1", "a2"))
+    among = p.where(F.col("w1") + F.col("w2") - (num + den) * common <= F.col("t")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return cut(direct.unionByName(among), "ngram-links"), told.select("a", "b")
+
+
+def enough(num: int, den: int) -> F.Column:
+    """Whether `shared`, the common shingles of two whole prefixes, allows the overlap that the two sizes need.
+
+    In the prefix that ends first in the global order, a shingle without partner is missing from the other set, and at
+    most n - overlap may be missing. Which one ends first isn't known here, so the weaker bound of the two counts.
+    """
+    least = lambda n: F.ceil(F.col(n) * num / den)
+    overlap = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
+    fits = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+    return fits & (F.col("shared") >= overlap - F.greatest(least("na") - F.col("ma"), least("nb") - F.col("mb")))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -197,26 +231,39 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4
     shared = tokens.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("token", "least")
     postings = cut(tokens.join(shared, "token"), "ngram-postings")
 
-    # First pass: one candidate for each document.
-    stars = postings.where("id <> least").groupBy("id", "least").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    # First pass: each document and its pivot.
+    sizes = ahead.select("id", "n", "m")
+    stars = postings.where("id <> least").groupBy("id", "least").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
+    stars = stars.where(5 * F.col("shared") >= 2 * (F.col("n") - F.ceil(F.col("n") * num / den) + F.col("m")))
     stars = stars.groupBy("id").agg(F.max(F.struct("shared", (-F.col("least")).alias("neg"))).alias("best"))
-    links = verified(known, stars.select(F.col("id").alias("a"), (-F.col("best.neg")).alias("b")), k, num, den)
-    groups = cut(components(links), "ngram-groups")
-
-    # Second pass: pairs between groups.
-    placed = postings.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component", "least")
-    mixed = placed.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
+    links, decided = around_pivots(known, stars.select(F.col("id").alias("a"), (-F.col("best.neg")).alias("b")), k, num, den)
+    groups = components(links)
+    pivots = decided.select(F.col("b").alias("id"), F.col("b").alias("pivot")).distinct()
+    pivots = pivots.unionByName(decided.select(F.col("a").alias("id"), F.col("b").alias("pivot")).join(pivots.select("id"), "id", "left_anti"))
+    groups = cut(groups.withColumnRenamed("node", "id").join(pivots, "id", "full"), "ngram-groups")
+
+    # Second pass: pairs of different pivots and components.
+    placed = postings.drop("least").join(groups, "id", "left").withColumns({"component": F.coalesce("component", "id"), "pivot": F.coalesce("pivot", "id")})
+    mixed = placed.groupBy("token").agg(*[f(c).alias(c[0] + n) for c in ("component", "pivot") for f, n in ((F.min, "lo"), (F.max, "hi"))]).where("clo < chi AND plo < phi").select("token")
     placed = cut(placed.join(mixed, "token"), "ngram-placed")
     drop(postings)
-    each = placed.groupBy("token", "group").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = each.select("token", F.col("group").alias("group_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
-    near = each.join(other, "token").where((F.col("group") < F.col("group_b")) & (den * F.col("hi_b") >= num * F.col("lo")) & (den * F.col("hi") >= num * F.col("lo_b"))).select("token", "group", "group_b")
-    left = placed.select("token", "group", F.col("id").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("level").alias("la"))
-    right = placed.select("token", F.col("group").alias("group_b"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("level").alias("lb"))
-    met = near.join(left, ["token", "group"]).join(right, ["token", "group_b"])
+    open_ = placed.groupBy("id").agg(F.count("*").alias("open"))  # what a document can share with others at most
+    placed = cut(placed.join(open_, "id"), "ngram-open")
+    each = placed.groupBy("token", "pivot").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("m").alias("m"), F.max("open").alias("open"), F.min("component").alias("c_lo"), F.max("component").alias("c_hi"))
+    other = each.select("token", *[F.col(c).alias(c + "_b") for c in each.columns[1:]])
+    least = lambda n, m: F.ceil(F.col(n) * num / den) - F.col(m)
+    sized = (den * F.col("hi_b") >= num * F.col("lo")) & (den * F.col("hi") >= num * F.col("lo_b"))
+    sized &= F.least("open", "open_b") >= F.ceil((F.col("lo") + F.col("lo_b")) * num / (num + den)) - F.greatest(least("hi", "m"), least("hi_b", "m_b"))
+    apart = F.least("c_lo", "c_lo_b") < F.greatest("c_hi", "c_hi_b")
+    near = each.join(other, "token").where((F.col("pivot") < F.col("pivot_b")) & apart & sized).select("token", "pivot", "pivot_b")
+    side = lambda s: placed.select("token", F.col("pivot").alias("pivot" + "_b" * (s == "b")), F.col("id").alias(s), *[F.col(c).alias(c[0] + s) for c in ("n", "m", "level", "open", "component")])
+    met = near.join(side("a"), ["token", "pivot"]).join(side("b"), ["token", "pivot_b"]).where("ca <> cb")
+    met = met.withColumn("shared", F.least("oa", "ob")).where(enough(num, den)).drop("shared")
     match = F.least("ma", "mb")
-    fits = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (F.col("la") <= match) & (F.col("lb") <= match)
-    candidates = met.where(fits).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(match).alias("need")).where("shared >= need")
+    level = (F.col("la") <= match) & (F.col("lb") <= match)
+    candidates = met.where(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).groupBy("a", "b")
+    candidates = candidates.agg(F.count("*").alias("shared"), F.count_if(level).alias("matched"), *[F.first(c).alias(c) for c in ("na", "nb", "ma", "mb")])
+    candidates = candidates.where((F.col("matched") >= match) & enough(num, den))
     more = verified(known, candidates, k, num, den)
 
     copies = rows.where("n > 0 AND id IS NOT NULL").join(classes.where("rep < last").select("data", "rep"), "data").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
