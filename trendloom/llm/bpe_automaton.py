@@ -287,6 +287,4 @@ def count_tokens(docs: DataFrame, keep_columns: list[str], text: str = "text", m
             cols = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (size, tokens)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*b.schema.names[:-1], "n_bytes", "n_tokens"])
 
-    picked = docs.select(*keep_columns, docs[text].alias("__text"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, kinds + "n_bytes long, n_tokens long")
+    return K.framed(docs, keep_columns, text, run, "n_bytes long, n_tokens long")

@@ -136,3 +136,18 @@ def words_of(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.n
     starts, ends, first = spans(~SPACE[raw], off)
     s = prefix_hash(LOWER[raw] if lower else raw)
     return span_hash(s, starts, ends), starts, ends, first
+
+
+def framed(docs, keep_columns: list[str], text: str, run, result: str):
+    """docs' keep_columns and `result` columns (a schema), by run over batches of the columns k0, k1, ... and the text last.
+
+    Kept columns go by position, so any names will do; one that has the name of a result gets "_in" after its own.
+    """
+    from pyspark.sql.types import StructType
+
+    told = [f.name for f in StructType.fromDDL(result).fields]
+    picked = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep_columns)], docs[text].alias("text"))
+    kinds = "".join(f"k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep_columns))
+    taken = {n.lower() for n in told}
+    names = [c + "_in" if c.lower() in taken else c for c in keep_columns]
+    return picked.mapInArrow(run, kinds + result).toDF(*names, *told)

@@ -118,9 +118,13 @@ def scan_slice(raw: np.ndarray, off: np.ndarray, notices: list[Notice]) -> tuple
 def nearest(hits: list) -> list:
     """Without those that overlap a hit of another label with fewer edits."""
     kept: list = []
+    at: dict[int, list] = {}  # kept hits by each word that they cover; a hit covers a few
     for h in sorted(hits, key=lambda x: (x[3], x[0], x[2])):
-        if not any(k[3] < h[3] and k[2] != h[2] and k[0] <= h[1] and h[0] <= k[1] for k in kept):
+        words = range(h[0], h[1] + 1)
+        if not any(k[3] < h[3] and k[2] != h[2] for w in words for k in at.get(w, ())):
             kept.append(h)
+            for w in words:
+                at.setdefault(w, []).append(h)
     return kept
 
 
@@ -157,9 +161,7 @@ def scan(docs: DataFrame, keep_columns: list[str], text: str = "text") -> DataFr
             arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], [*b.schema.names[:-1], *NAMES])
 
-    picked = docs.select(*keep_columns, docs[text].alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, f"{kinds}, {SCHEMA}" if kinds else SCHEMA)
+    return K.framed(docs, keep_columns, text, run, SCHEMA)
 
 
 NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]

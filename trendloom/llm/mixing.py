@@ -82,7 +82,7 @@ def _number(key) -> F.Column:
 def mix(docs: DataFrame, keep_columns: list[str], doc_id: str = "doc_id", source: str = "source", text: str = "text", repetition: float | None = REPETITION, target_entropy: float | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """keep_columns for each use of each row, then mix_source, mix_tokens, mix_weight, mix_copy (from 0), mix_block, block_key, doc_key."""
     spark = docs.sparkSession
-    rows = docs.select(*[F.col(c) for c in keep_columns], F.col(source).alias("mix_source"), count_words(text).alias("mix_tokens"), F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")))).alias("__id"))
+    rows = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep_columns)], F.col(source).alias("mix_source"), count_words(text).alias("mix_tokens"), F.coalesce(F.col(doc_id).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")))).alias("__id"))
     found = rows.groupBy("mix_source").agg(F.sum("mix_tokens").alias("t")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -111,4 +111,6 @@ def mix(docs: DataFrame, keep_columns: list[str], doc_id: str = "doc_id", source
             "doc_key": F.md5(F.concat(F.lit("doc/"), F.col("mix_copy").cast("string"), F.lit("/"), "__id")),
         }
     )
-    return told.select(*keep_columns, "mix_source", "mix_tokens", "mix_weight", "mix_copy", "mix_block", "block_key", "doc_key")
+    made = ["mix_source", "mix_tokens", "mix_weight", "mix_copy", "mix_block", "block_key", "doc_key"]
+    names = [c + "_in" if c.lower() in made else c for c in keep_columns]
+    return told.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], *made)

@@ -274,9 +274,7 @@ def encode(docs: DataFrame, keep_columns: list[str], text: str = "text", count:
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in kept), *cols], [*b.schema.names[:-1], *NAMES])
                 at += n
 
-    picked = docs.select(*keep_columns, docs[text].alias("__text"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, kinds + SCHEMA)
+    return K.framed(docs, keep_columns, text, run, SCHEMA)
 
 
 NAMES = ["ids", "n_pieces", "scores", "nbest", "ids_sha256", "decoded_sha256", "round_trip"]
@@ -291,6 +289,4 @@ def decode(coded: DataFrame, keep_columns: list[str], ids: str = "ids", model: s
             texts = [decode_ids(pieces, np.array(x, np.int64)).decode("utf-8", "replace") if x else "" for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], "text"])
 
-    picked = coded.select(*keep_columns, coded[ids].alias("__ids"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, kinds + "text string")
+    return K.framed(coded, keep_columns, ids, run, "text string")

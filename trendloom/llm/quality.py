@@ -74,8 +74,7 @@ class Texts:
     def only(self, keep: np.ndarray) -> Texts:
         size = np.diff(self.off)
         out = Texts(self.raw[np.repeat(keep, size)], np.concatenate([[0], np.cumsum(size[keep])]))
-        rows = len(keep)
-        out._made = {k: v[keep] for k, v in self._made.items() if len(v) == rows and k in COUNTS}
+        out._made = {k: v[keep] for k, v in self._made.items() if k in COUNTS}
         return out
 
     def _words(self) -> None:
@@ -238,6 +237,4 @@ def quality(docs: DataFrame, keep_columns: list[str], text: str = "text", rules:
             arrays = [pa.array(c.astype(bool) if n in ("base_failed", "kept") else c.astype(np.int64)) for n, c in zip(BASE, cols)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], [*b.schema.names[:-1], *BASE])
 
-    picked = docs.select(*keep_columns, docs[text].alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(judge, f"{kinds}, {BASE_SCHEMA}" if kinds else BASE_SCHEMA)
+    return K.framed(docs, keep_columns, text, judge, BASE_SCHEMA)

@@ -87,9 +87,7 @@ def fingerprint(docs: DataFrame, keep_columns: list[str], text: str = "text", k:
             codes = [encode(s) for s in sketches(b.column(b.num_columns - 1), k)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(codes, pa.string())], [*b.schema.names[:-1], "fingerprint"])
 
-    picked = docs.select(*keep_columns, docs[text].alias("__text"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, kinds + "fingerprint string")
+    return K.framed(docs, keep_columns, text, run, "fingerprint string")
 
 
 _SCHEMA = "kind int, doc_id long, text string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

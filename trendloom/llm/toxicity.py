@@ -197,6 +197,4 @@ def score(docs: DataFrame, model: Model, keep_columns: list[str], text: str = "t
                     z[row : row + len(off) - 1] += np.bincount(r, weights=weights[c], minlength=len(off) - 1)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*b.schema.names[:-1], "score"])
 
-    picked = docs.select(*keep_columns, docs[text].alias("__text"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, kinds + "score double")
+    return K.framed(docs, keep_columns, text, run, "score double")
