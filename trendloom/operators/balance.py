@@ -135,7 +135,10 @@ def solve(formula: Formula, coeffs: np.ndarray, discrete: bool = True, overdeter
         raise BalanceError("Cannot solve underdetermined system.")
     if discrete:
         target = target * weights(formula, rank)
-    use = have if overdetermined else have[:m]
+    if overdetermined and len(have) > m:  # from the first orders' solution, least squares of all orders as they are
+        start = solve(formula, np.array(coeffs[: have[m - 1] + 1], float), discrete)
+        return least_squares(lambda a: (formula.series(a, rank) - target)[have], start)[0]
+    use = have[:m]
     scale = np.maximum(np.abs(target[use]), 1e-12)
 
     def f(a: np.ndarray) -> np.ndarray:
@@ -155,7 +158,7 @@ def solve(formula: Formula, coeffs: np.ndarray, discrete: bool = True, overdeter
                 best, found = cost, a
         if best < tolerance**2:
             break
-    if found is None or (not overdetermined and best > 1e-8):
+    if found is None or best > 1e-8:
         raise BalanceError("No nonlinear solutions found for balance.")
     return found
 

@@ -170,4 +170,5 @@ def links(html: Column | str) -> Column:
 
 def upper_tags(html: Column | str) -> Column:
     """All tags in capitals, texts as they are."""
-    return F.array_join(F.transform(F.regexp_extract_all(F.concat(html, F.lit("<>")), F.lit("([^<]*)(<[^>]*>)"), F.lit(0)), lambda p: F.concat(F.regexp_extract(p, "^([^<]*)", 1), F.upper(F.regexp_extract(p, "(<.*)$", 1)))), "")
+    whole = F.array_join(F.transform(F.regexp_extract_all(F.concat(html, F.lit("<>")), F.lit("([^<]*)(<[^>]*>)"), F.lit(0)), lambda p: F.concat(F.regexp_extract(p, "^([^<]*)", 1), F.upper(F.regexp_extract(p, "(<.*)$", 1)))), "")
+    return F.left(whole, F.length(whole) - 2)
