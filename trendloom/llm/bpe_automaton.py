@@ -201,7 +201,7 @@ def count_text(auto: Automaton, text: str, chunk: int = CHUNK) -> int:
 class WordCounts:
     """Counts of stretches by 64-bit hash, as sorted arrays; asks the automaton for new ones."""
 
-    LIMIT = 3_000_000
+    LIMIT = 2_000_000
 
     def __init__(self, auto: Automaton):
         self.auto, self.keys, self.values = auto, np.zeros(0, K.U), np.zeros(0, np.int64)

@@ -6,13 +6,14 @@ depends on the longest text and not on the batch. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 U = np.uint64
 #: ASCII white space: 0x20 and 0x09-0x0D.
 SPACE = np.zeros(256, bool)
@@ -74,7 +75,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(20, int(size + 1).bit_length()))
+    return _powers(1 << max(19, int(size + 1).bit_length()))
 
 
 def prefix_hash(raw: np.ndarray) -> np.ndarray:
@@ -138,6 +139,23 @@ def words_of(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.n
     return span_hash(s, starts, ends), starts, ends, first
 
 
+def lean(run):
+    """A task's function that hands memory back to the system when it ends: workers stay for later stages of other shapes."""
+
+    @wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return task
+
+
 def framed(docs, keep_columns: list[str], text: str, run, result: str):
     """docs' keep_columns and `result` columns (a schema), by run over batches of the columns k0, k1, ... and the text last.
 
@@ -150,4 +168,4 @@ def framed(docs, keep_columns: list[str], text: str, run, result: str):
     kinds = "".join(f"k{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep_columns))
     taken = {n.lower() for n in told}
     names = [c + "_in" if c.lower() in taken else c for c in keep_columns]
-    return picked.mapInArrow(run, kinds + result).toDF(*names, *told)
+    return picked.mapInArrow(lean(run), kinds + result).toDF(*names, *told)

@@ -39,7 +39,7 @@ BEST = 4
 BYTE_SCORE = -14_000_000
 _NONE = -(1 << 60)
 #: Stretches that a worker keeps.
-CACHE = 2_000_000
+CACHE = 1_000_000
 
 
 class Pieces:

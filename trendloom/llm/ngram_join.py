@@ -80,7 +80,7 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([1] * len(full), pa.int32()), pa.array([i for i, _ in full], pa.int64()), pa.array([0] * len(full), pa.int64()), pa.array([c.tobytes() for _, c in full], pa.binary())], names)
 
     names = ["kind", "doc_id", "n", "data"]
-    return cut(docs.mapInArrow(run, "kind int, doc_id long, n long, data binary"), "ngram-survey")
+    return cut(docs.mapInArrow(K.lean(run), "kind int, doc_id long, n long, data binary"), "ngram-survey")
 
 
 def frequency_sketch(surveyed: DataFrame) -> np.ndarray:
@@ -95,9 +95,9 @@ def frequency_sketch(surveyed: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["chunk", "data"])
 
     parts = surveyed.where("kind = 1").select(F.col("doc_id").alias("chunk"), "data")
-    some = parts.mapInArrow(add, "chunk long, data binary")
+    some = parts.mapInArrow(K.lean(add), "chunk long, data binary")
     out = np.zeros(SKETCH, np.int64)
-    for r in some.repartition("chunk").mapInArrow(add, "chunk long, data binary").collect():
+    for r in some.repartition("chunk").mapInArrow(K.lean(add), "chunk long, data binary").collect():
         out[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] += np.frombuffer(r.data, np.int64)
     return out
 
@@ -145,7 +145,7 @@ def prefixes(docs: DataFrame, freq: np.ndarray, k: int, num: int, den: int) -> D
             flat = np.concatenate(toks) if toks else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(ms, pa.int32()), pa.array(bases, pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["id", "n", "m", "base", "tokens"])
 
-    return docs.mapInArrow(run, "id long, n long, m int, base int, tokens array<long>")
+    return docs.mapInArrow(K.lean(run), "id long, n long, m int, base int, tokens array<long>")
 
 
 def with_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -168,7 +168,7 @@ def with_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
                 off = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(sets)))], ["id", "shingles"])
 
-    made = docs.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))).mapInArrow(run, "id long, shingles array<long>")
+    made = docs.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))).mapInArrow(K.lean(run), "id long, shingles array<long>")
     sets = made.join(ids, "id", "left_semi")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     return left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")

@@ -163,6 +163,6 @@ def against_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    made = cut(picked.repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(run, _SCHEMA), "sketches")
+    made = cut(picked.repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(K.lean(run), _SCHEMA), "sketches")
     ends = made.where("kind > 0").select("kind", "doc_id", "text").coalesce(1).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "kind")
-    return made.where("kind = 0").unionByName(ends.mapInArrow(join_ends, _SCHEMA)).drop("kind", "text")
+    return made.where("kind = 0").unionByName(ends.mapInArrow(K.lean(join_ends), _SCHEMA)).drop("kind", "text")

@@ -62,7 +62,7 @@ def counts(texts: DataFrame) -> DataFrame:
                     every = np.bincount(at, minlength=len(each))
                     yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), pa.array(every - pos), pa.array(pos)], ["feature", "neg", "pos"])
 
-    return texts.select("text", "toxic").mapInArrow(run, "feature long, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    return texts.select("text", "toxic").mapInArrow(K.lean(run), "feature long, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
 
 
 def _active(raw: np.ndarray, off: np.ndarray, known: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                     out[row + r].append(c)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.list_(pa.int32()))], ["toxic", "votes"])
 
-    seen = texts.mapInArrow(vote, "toxic int, votes array<int>").collect()
+    seen = texts.mapInArrow(K.lean(vote), "toxic int, votes array<int>").collect()
     seen.sort(key=lambda r: (r.toxic, r.votes))  # so that the fit doesn't depend on the order of tasks
     label = np.array([r.toxic for r in seen])
     rows = np.repeat(np.arange(len(seen)), [len(r.votes) for r in seen])
