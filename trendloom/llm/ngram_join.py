@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -201,16 +201,20 @@ def around_pivots(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int)
     return cut(direct.unionByName(among), "ngram-links"), told.select("a", "b")
 
 
-def enough(num: int, den: int) -> F.Column:
-    """Whether `shared`, the common shingles of two whole prefixes, allows the overlap that the two sizes need.
+def needed(num: int, den: int, na: str, nb: str, ta: str, tb: str, ma: str, mb: str) -> F.Column:
+    """How many common shingles of two whole prefixes the overlap asks for that sets of na and nb need.
 
     In the prefix that ends first in the global order, a shingle without partner is missing from the other set, and at
     most n - overlap may be missing. Which one ends first isn't known here, so the weaker bound of the two counts.
+    ta, tb: the columns with the sizes of which the prefixes' lengths are taken (of groups, the largest).
     """
-    least = lambda n: F.ceil(F.col(n) * num / den)
-    overlap = F.ceil((F.col("na") + F.col("nb")) * num / (num + den))
-    fits = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-    return fits & (F.col("shared") >= overlap - F.greatest(least("na") - F.col("ma"), least("nb") - F.col("mb")))
+    rest = lambda n, m: F.ceil(F.col(n) * num / den) - F.col(m)
+    return F.greatest(F.lit(1), F.ceil((F.col(na) + F.col(nb)) * num / (num + den)) - F.greatest(rest(ta, ma), rest(tb, mb)))
+
+
+def enough(num: int, den: int) -> F.Column:
+    """Whether the sizes fit and `shared` common shingles of the prefixes can do."""
+    return (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (F.col("shared") >= needed(num, den, "na", "nb", "na", "nb", "ma", "mb"))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -227,7 +231,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4
     ahead = prefixes(known, freq, k, num, den).where("n > 0").join(reps, "id", "left_semi")
     ahead = cut(ahead, "ngram-prefixes")
     tokens = ahead.select("id", "n", "m", F.col("base"), F.posexplode("tokens").alias("at", "token"))
-    tokens = tokens.select("token", "id", "n", "m", F.greatest(F.lit(1), F.col("at") - F.col("base") + 1).cast("int").alias("level"))
+    tokens = tokens.select("token", "id", "n", "m", "at")
     shared = tokens.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("token", "least")
     postings = cut(tokens.join(shared, "token"), "ngram-postings")
 
@@ -247,23 +251,23 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4
     mixed = placed.groupBy("token").agg(*[f(c).alias(c[0] + n) for c in ("component", "pivot") for f, n in ((F.min, "lo"), (F.max, "hi"))]).where("clo < chi AND plo < phi").select("token")
     placed = cut(placed.join(mixed, "token"), "ngram-placed")
     drop(postings)
-    open_ = placed.groupBy("id").agg(F.count("*").alias("open"))  # what a document can share with others at most
-    placed = cut(placed.join(open_, "id"), "ngram-open")
-    each = placed.groupBy("token", "pivot").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("m").alias("m"), F.max("open").alias("open"), F.min("component").alias("c_lo"), F.max("component").alias("c_hi"))
+    # Of a document's tokens that others have, how many stand from each one on: partners share none before their first common one.
+    placed = cut(placed.withColumn("rest", F.count("*").over(Window.partitionBy("id").orderBy(F.desc("at")))).drop("at"), "ngram-open")
+    each = placed.groupBy("token", "pivot").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("m").alias("m"), F.max("rest").alias("rest"), F.min("component").alias("c_lo"), F.max("component").alias("c_hi"))
     other = each.select("token", *[F.col(c).alias(c + "_b") for c in each.columns[1:]])
-    least = lambda n, m: F.ceil(F.col(n) * num / den) - F.col(m)
     sized = (den * F.col("hi_b") >= num * F.col("lo")) & (den * F.col("hi") >= num * F.col("lo_b"))
-    sized &= F.least("open", "open_b") >= F.ceil((F.col("lo") + F.col("lo_b")) * num / (num + den)) - F.greatest(least("hi", "m"), least("hi_b", "m_b"))
+    need = needed(num, den, "lo", "lo_b", "hi", "hi_b", "m", "m_b")
     apart = F.least("c_lo", "c_lo_b") < F.greatest("c_hi", "c_hi_b")
-    near = each.join(other, "token").where((F.col("pivot") < F.col("pivot_b")) & apart & sized).select("token", "pivot", "pivot_b")
-    side = lambda s: placed.select("token", F.col("pivot").alias("pivot" + "_b" * (s == "b")), F.col("id").alias(s), *[F.col(c).alias(c[0] + s) for c in ("n", "m", "level", "open", "component")])
-    met = near.join(side("a"), ["token", "pivot"]).join(side("b"), ["token", "pivot_b"]).where("ca <> cb")
-    met = met.withColumn("shared", F.least("oa", "ob")).where(enough(num, den)).drop("shared")
+    near = each.join(other, "token").where((F.col("pivot") < F.col("pivot_b")) & apart & sized & (F.least("rest", "rest_b") >= need)).select("token", "pivot", "pivot_b", need.alias("need"))
+    side = lambda s: placed.select("token", F.col("pivot").alias("pivot" + "_b" * (s == "b")), F.col("id").alias(s), *[F.col(c).alias(c[0] + s) for c in ("n", "m", "rest", "component")])
+    met = near.join(side("a"), ["token", "pivot"]).where("ra >= need").join(side("b"), ["token", "pivot_b"]).where("rb >= need AND ca <> cb")
+    met = met.withColumn("shared", F.least("ra", "rb")).where(enough(num, den)).select("a", "b").distinct()
+    # What is shared in all, and at the smaller of the two lengths.
+    whole = lambda s: ahead.select(F.col("id").alias(s), *[F.col(c).alias(c[0] + s) for c in ("n", "m", "base", "tokens")])
+    full = met.join(whole("a"), "a").join(whole("b"), "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
     match = F.least("ma", "mb")
-    level = (F.col("la") <= match) & (F.col("lb") <= match)
-    candidates = met.where(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).groupBy("a", "b")
-    candidates = candidates.agg(F.count("*").alias("shared"), F.count_if(level).alias("matched"), *[F.first(c).alias(c) for c in ("na", "nb", "ma", "mb")])
-    candidates = candidates.where((F.col("matched") >= match) & enough(num, den))
+    matched = F.size(F.array_intersect(F.slice("ta", F.lit(1), F.col("ba") + match), F.slice("tb", F.lit(1), F.col("bb") + match)))
+    candidates = full.where(enough(num, den)).where(matched >= match)
     more = verified(known, candidates, k, num, den)
 
     copies = rows.where("n > 0 AND id IS NOT NULL").join(classes.where("rep < last").select("data", "rep"), "data").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
