@@ -348,6 +348,7 @@ def test_sketch_against_next(docs, empty):
         third = len(t) // 3
         e = t[: len(t) - third] + after[:third]
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == tuple(sketches.encode(x) for x in sketches.sketches(pa.array([t, e])))
         assert 0 <= got[i].near_next <= 1 and 0 <= got[i].near_edited <= 1
     prints = {}
     for i, t in rows:

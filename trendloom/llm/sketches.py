@@ -52,6 +52,20 @@ def encode(sketch: np.ndarray) -> str:
     return base64.b64encode((sketch >> K.U(29)).astype(">u4").tobytes()).decode()
 
 
+def pack(sketch: np.ndarray) -> bytes:
+    """The bytes of encode(), before base 64; a stand-in has its mark in front, so its length isn't a multiple of four."""
+    if len(sketch) and sketch[0] >= _LIMIT:
+        return b"~" + sketch[:1].astype(">u8").tobytes()
+    return (sketch >> K.U(29)).astype(">u4").tobytes()
+
+
+def encoded(packed: str) -> F.Column:
+    """encode() of packed sketches, in the engine."""
+    p = F.col(packed)
+    text = lambda b: F.translate(F.base64(b), "\r\n", "")  # the engine breaks its lines
+    return F.when(F.octet_length(p) % 4 == 1, F.concat(F.lit("~"), text(F.substring(p, 2, 8)))).otherwise(text(p))
+
+
 def decode(code: str) -> np.ndarray:
     if code.startswith("~"):
         return np.frombuffer(base64.b64decode(code[1:]), ">u8").astype(K.U)
@@ -90,8 +104,8 @@ def fingerprint(docs: DataFrame, keep_columns: list[str], text: str = "text", k:
     return K.framed(docs, keep_columns, text, run, "fingerprint string")
 
 
-_SCHEMA = "kind int, doc_id long, text string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_TYPES = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_SCHEMA = "kind int, doc_id long, text string, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_TYPES = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 
 
@@ -102,9 +116,9 @@ def _compare(ids: list, texts: list[str], k: int) -> list[tuple]:
         third = len(t) // 3
         edited.append(t[: len(t) - third] + after[:third])
     own, other = sketches(pa.array(texts, pa.string()), k), sketches(pa.array(edited, pa.string()), k)
-    codes = [encode(s) for s in own[:-1]]
+    codes = [pack(s) for s in own[:-1]]
     return [
-        (0, i, None, len(t), hashlib.sha256(e.encode()).hexdigest(), c, encode(x), likeness(s, x), likeness(s, n))
+        (0, i, None, len(t), hashlib.sha256(e.encode()).digest(), c, pack(x), likeness(s, x), likeness(s, n))
         for i, t, e, c, s, x, n in zip(ids, texts, edited, codes, own, other, own[1:])
     ]
 
@@ -165,4 +179,5 @@ def against_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
     made = cut(picked.repartitionByRange(order[0]).sortWithinPartitions(*order).mapInArrow(K.lean(run), _SCHEMA), "sketches")
     ends = made.where("kind > 0").select("kind", "doc_id", "text").coalesce(1).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "kind")
-    return made.where("kind = 0").unionByName(ends.mapInArrow(K.lean(join_ends), _SCHEMA)).drop("kind", "text")
+    told = made.where("kind = 0").unionByName(ends.mapInArrow(K.lean(join_ends), _SCHEMA))
+    return told.select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), *[encoded(c).alias(c) for c in ("fingerprint", "edited_fingerprint")], "near_edited", "near_next")
