@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 MAX_RANK = 10
 
@@ -31,7 +32,6 @@ def power_sums(series: DataFrame, degree: int) -> DataFrame:
 def scaled_solution(degree: int) -> list[Column]:
     """b0..b(degree) in powers of z; on a whole index odd sums vanish."""
     s, t = (lambda k: F.col(f"s{k}")), (lambda k: F.col(f"t{k}"))
-    zero = F.lit(0.0)
     if degree == 0:
         return [t(0) / s(0)]
     if degree == 1:
@@ -41,7 +41,7 @@ def scaled_solution(degree: int) -> list[Column]:
     if degree == 2:
         return [b0, F.try_divide(t(1), s(2)), b2]
     odd = s(2) * s(6) - s(4) * s(4)
-    return [b0, F.try_divide(s(6) * t(1) - s(4) * t(3), odd), b2, F.try_divide(s(2) * t(3) - s(4) * t(1), odd)][: degree + 1] or [zero]
+    return [b0, F.try_divide(s(6) * t(1) - s(4) * t(3), odd), b2, F.try_divide(s(2) * t(3) - s(4) * t(1), odd)]
 
 
 def unscaled(b: list[Column]) -> list[Column]:
@@ -52,30 +52,44 @@ def unscaled(b: list[Column]) -> list[Column]:
     return c
 
 
+@pandas_udf(ArrayType(DoubleType()))
+def _solve(rank: pd.Series, s: pd.Series, t: pd.Series, h: pd.Series) -> pd.Series:
+    """Normal equations of one series a row, for ranks above 4."""
+    out = []
+    for r, sk, tk, hk in zip(rank, s, t, h):
+        m = np.array([[sk[i + j] for j in range(r)] for i in range(r)])
+        try:
+            b = np.linalg.lstsq(m, np.array(tk[:r]), rcond=1e-15)[0]
+            c = np.polynomial.Polynomial(b)(np.polynomial.Polynomial([-1, 1 / hk])).coef
+            out.append(np.pad(c, (0, r - len(c))).tolist())
+        except np.linalg.LinAlgError:
+            out.append(None)
+    return pd.Series(out)
+
+
+def fit_ranks(series: DataFrame, ranks: list[int]) -> DataFrame:
+    """series_id, n, rank, coeffs for each rank, all from one pass of power sums."""
+    for r in ranks:
+        _check(r)
+    top = max(ranks)
+    sums = power_sums(series, max(top - 1, 3))
+    s, t = F.array(*[F.col(f"s{k}") for k in range(2 * top - 1)]), F.array(*[F.col(f"t{k}") for k in range(top)])
+    each = {f"c{r}": F.array(*unscaled(scaled_solution(r - 1))[:r]) if r <= 4 else _solve(F.lit(r), s, t, F.col("h")) for r in ranks}
+    solved = sums.select("series_id", "n", *[F.when(F.col("n") >= r, each[f"c{r}"]).alias(f"c{r}") for r in ranks])
+    one = F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), F.col(f"c{r}").alias("coeffs")) for r in ranks]))
+    return solved.select("series_id", "n", one.alias("f")).select("series_id", "n", "f.rank", "f.coeffs")
+
+
 def fit(series: DataFrame, rank: int) -> DataFrame:
     """series_id, n, coeffs (ascending, `rank` of them). Fewer than `rank` samples give null coefficients."""
     _check(rank)
     degree = rank - 1
     sums = power_sums(series, degree)
     if degree <= 3:
-        c = unscaled(scaled_solution(degree))[:rank]
-        return sums.select("series_id", "n", F.when(F.col("n") >= rank, F.array(*c)).alias("coeffs"))
-
-    @pandas_udf("array<double>")
-    def solve(s: pd.Series, t: pd.Series, h: pd.Series) -> pd.Series:
-        out = []
-        for sk, tk, hk in zip(s, t, h):
-            m = np.array([[sk[i + j] for j in range(rank)] for i in range(rank)])
-            try:
-                b = np.linalg.lstsq(m, np.array(tk), rcond=1e-15)[0]
-                c = np.polynomial.Polynomial(b)(np.polynomial.Polynomial([-1, 1 / hk])).coef
-                out.append(np.pad(c, (0, rank - len(c))).tolist())
-            except np.linalg.LinAlgError:
-                out.append(None)
-        return pd.Series(out)
-
-    arrays = sums.select("series_id", "n", "h", F.array(*[f"s{k}" for k in range(2 * degree + 1)]).alias("s"), F.array(*[f"t{k}" for k in range(rank)]).alias("t"))
-    return arrays.select("series_id", "n", F.when(F.col("n") >= rank, solve("s", "t", "h")).alias("coeffs"))
+        coeffs = F.array(*unscaled(scaled_solution(degree))[:rank])
+    else:
+        coeffs = _solve(F.lit(rank), F.array(*[f"s{k}" for k in range(2 * degree + 1)]), F.array(*[f"t{k}" for k in range(rank)]), F.col("h"))
+    return sums.select("series_id", "n", F.when(F.col("n") >= rank, coeffs).alias("coeffs"))
 
 
 def evaluate(coeffs: Column | str, x: Column) -> Column:
@@ -117,10 +131,7 @@ def best_rank(series: DataFrame, ranks: range = range(2, 7)) -> DataFrame:
     """series_id, rank, rse, r_sq for each rank, all ranks from one pass of power sums (values by one more pass)."""
     from ..functions import metrics as M
 
-    fits = None
-    for r in ranks:
-        one = fit(series, r).select("series_id", F.lit(r).alias("rank"), "coeffs")
-        fits = one if fits is None else fits.unionByName(one)
+    fits = fit_ranks(series, list(ranks)).select("series_id", "rank", "coeffs")
     joined = series.join(fits, "series_id").withColumn("y_fit", evaluate("coeffs", F.col("x").cast("double")))
     return joined.groupBy("series_id", "rank").agg(M.rse("y", "y_fit").alias("rse"), M.r_sq_fit("y", "y_fit").alias("r_sq"), M.concord("y", "y_fit").alias("concord"))
 
