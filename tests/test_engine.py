@@ -272,6 +272,18 @@ def test_overdetermined_balance_and_integral(spark):
         assert told > 0.98
 
 
+def test_rank_raising(spark):
+    f = Formula(B.CLOSED["exp"][0])
+    y = f.values(np.arange(300), [1, 0.2, 3, 0.004])
+    assert FT.raised_rank(y, f, 4) >= 4
+    wave = Formula("a0 + a1*t**2 + a2*t**5")
+    assert FT.raised_rank(np.arange(50.0) ** 6, wave, 3) == 3  # a raised series would have orders without a term
+    s = series(spark, s=y)
+    fits = FT.nonline_fit(s, f.text, raise_rank=True)
+    assert fits.first().error is None
+    assert FT.with_fit(s, fits, f.text).agg(M.r2_observed("y", "y_fit")).first()[0] > 0.99
+
+
 def test_spectrum():
     assert FT.spectrum("a0 + a1*exp(a2*t)", [1, 2, 3], 4) == pytest.approx([3, 6, 9, 9])
     assert FT.spectrum("a0 + a1*exp(a2*t)", [1, 2, 3], 3, scale=True) == pytest.approx([1.5, 6, 18])
@@ -307,6 +319,10 @@ def test_sweeps(spark):
     assert all(r.r_sq > 0.999 for r in X.polynomial_mass_test(spark, "exponential1", [50], range(3, 5)).collect())
     p = {r.split: r for r in X.perform_test(G.curve(spark, "transcendental1"), B.CLOSED["sincos_one"][0], 800, numeric=True).collect()}
     assert p["train"].r_sq > 0.9 and p["test"].rse < 1
+    grid = X.sensitivity(spark, B.CLOSED["sincos_one"][0], "transcendental1", 1000, [800], [20.0]).collect()
+    assert {(r.size, r.split) for r in grid} == {(800, "train"), (800, "test")} and all(r.rse is not None for r in grid)
+    far = {r.sigma: r["mean"] for r in X.deviation_by_noise(G.curve(spark, "exponential1", 200), 3, [0.0, 1.0]).collect()}
+    assert far[0.0] < 1e-6 < far[1.0]
     mc = X.monte_carlo(G.curve(spark, "exponential1", 400), 3, 20, 5.0).first()
     assert mc.runs == 20 and 0 < mc.rse_median < 2
     assert X.growing_prefixes(G.curve(spark, "combined1", 900), [400, 600, 800], 5).count() == 3

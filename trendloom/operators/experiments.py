@@ -59,6 +59,27 @@ def perform_test(series: DataFrame, expression: str, size: int, noise_coeff: flo
     return told.groupBy("series_id", "split").agg(M.rse("y_ideal", "y_fit").alias("rse"), M.r_sq_fit("y_ideal", "y_fit").alias("r_sq"))
 
 
+def sensitivity(spark: SparkSession, expression: str, curve: str, n: int, sizes: list[int], noise: list[float], numeric: bool = True, seed: int = 1) -> DataFrame:
+    """size, noise_coeff, split, rse, r_sq of perform_test over a grid of training sizes and noise levels; nulls where no fit was found."""
+    out = None
+    base = G.curve(spark, curve, n)
+    for size in sizes:
+        for coeff in noise:
+            one = perform_test(base, expression, size, coeff, numeric=numeric, seed=seed).drop("series_id")
+            both = spark.createDataFrame([(size, coeff, "train"), (size, coeff, "test")], "size int, noise_coeff double, split string").join(one, "split", "left")
+            out = both if out is None else out.unionByName(both)
+    return out.select("size", "noise_coeff", "split", "rse", "r_sq")
+
+
+def deviation_by_noise(series: DataFrame, rank: int, sigmas: list[float], seed: int = 1) -> DataFrame:
+    """series_id, sigma, mean, variance and deviation of how far a polynomial fit of the noisy series is from the ideal one."""
+    levels = series.withColumn("sigma", F.explode(F.array(*[F.lit(float(v)) for v in sigmas])))
+    noisy = levels.withColumns({"y_ideal": F.col("y"), "name": F.col("series_id"), "series_id": F.concat_ws("~", "series_id", F.col("sigma").cast("string"))})
+    noisy = noisy.withColumn("y", F.col("y") + G.normal(seed, "name", "x") * F.col("sigma"))
+    told = lsm.fitted(noisy, rank).withColumn("far", F.abs(F.col("y_fit") - F.col("y_ideal")))
+    return told.groupBy(F.col("name").alias("series_id"), "sigma").agg(F.avg("far").alias("mean"), F.var_pop("far").alias("variance"), F.stddev_pop("far").alias("deviation"))
+
+
 def monte_carlo(series: DataFrame, rank: int, runs: int, sigma: float, seed: int = 1) -> DataFrame:
     """series_id, runs, median and deviation of rse over noisy repeats of a polynomial fit."""
     noisy = G.add_noise(repeats(series, runs), 0.0, sigma, seed=seed)

@@ -43,7 +43,23 @@ def solve_series(y: np.ndarray, formula: Formula, coeffs: np.ndarray, numeric: b
     return a
 
 
-def _fit(series: DataFrame, text: str, var: str, rank: int, numeric: bool, discrete: bool, maxfev: int, **more) -> DataFrame:
+def raised_rank(y: np.ndarray, formula: Formula, rank: int, reach: int = 12, eps: float = 1e-6) -> int:
+    """The first rank from `rank` on after which the polynomial's rse and r_sq don't change; `rank` itself if none is, or if the
+    formula's series has no term of some order below it."""
+    x = np.linspace(-1, 1, len(y))
+    scores = []
+    for r in range(rank, min(rank + reach, len(y) - 2)):
+        f = np.polynomial.chebyshev.chebval(x, np.polynomial.chebyshev.chebfit(x, y, r - 1))
+        rss = float(((y - f) ** 2).sum())
+        scores.append((np.sqrt(rss / (len(y) - 2)), 1 - rss / max(float(((f - f.mean()) ** 2).sum()), 1e-300)))
+    for i, (a, b) in enumerate(zip(scores, scores[1:])):
+        if abs(b[0] - a[0]) * abs(b[1] - a[1]) < eps:
+            r = min(rank + i, lsm.MAX_RANK)
+            return r if len(formula.orders(r)) == r else rank
+    return rank
+
+
+def _fit(series: DataFrame, text: str, var: str, rank: int, numeric: bool, discrete: bool, maxfev: int, raise_rank: bool = False, **more) -> DataFrame:
     formula = Formula(text, var)
     m = len(formula.params)
     rank = rank or m
@@ -56,14 +72,21 @@ def _fit(series: DataFrame, text: str, var: str, rank: int, numeric: bool, discr
         try:
             if c is None:
                 raise B.BalanceError("too few samples")
-            a = solve_series(pdf.y.to_numpy(float) if numeric else np.zeros(0), formula, np.array(c, float), numeric, discrete, maxfev, **more)
+            y = pdf.y.to_numpy(float) if numeric or raise_rank else np.zeros(0)
+            options = dict(more)
+            if raise_rank and (r := raised_rank(y, formula, rank)) > rank:
+                h = (len(y) - 1) / 2
+                b = np.polynomial.polynomial.polyfit((np.arange(len(y)) - h) / h, y, r - 1)
+                c = np.polynomial.Polynomial(b)(np.polynomial.Polynomial([-1, 1 / h])).coef.tolist()
+                options["overdetermined"] = len(c) > m
+            a = solve_series(y, formula, np.array(c, float), numeric, discrete, maxfev, **options)
             params = a.tolist()
         except (B.BalanceError, ValueError, np.linalg.LinAlgError) as e:
             error = str(e)
         return pd.DataFrame({"series_id": [pdf.series_id.iloc[0]], "n": [pdf.n.iloc[0]], "params": [params], "coeffs": [None if c is None else list(c)], "error": [error]})
 
     fits = lsm.fit(series, rank)
-    if numeric:  # the solver needs the samples of its series
+    if numeric or raise_rank:  # the solver needs the samples of its series
         rows = series.select("series_id", "x", "y").join(fits, "series_id")
     else:  # coefficients are enough
         rows = fits.withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0.0)})
@@ -75,10 +98,11 @@ def dsb_fit(series: DataFrame, expression: str, main_var: str = "t", rank: int =
     return _fit(series, expression, main_var, rank, numeric, discretes, maxfev)
 
 
-def nonline_fit(series: DataFrame, expression: str, main_var: str = "t", rank: int = 0, numeric: bool = False, offset: bool = False, maxfev: int = 100_000) -> DataFrame:
-    """Raw balance (discrete with offset); with more coefficients than parameters, in the least-squares sense."""
+def nonline_fit(series: DataFrame, expression: str, main_var: str = "t", rank: int = 0, numeric: bool = False, offset: bool = False, raise_rank: bool = False, maxfev: int = 100_000) -> DataFrame:
+    """Raw balance (discrete with offset); with more coefficients than parameters, in the least-squares sense. raise_rank lets each
+    series choose its rank, from `rank` up."""
     m = len(Formula(expression, main_var).params)
-    return _fit(series, expression, main_var, rank, numeric, offset, maxfev, overdetermined=rank > m)
+    return _fit(series, expression, main_var, rank, numeric, offset, maxfev, raise_rank, overdetermined=rank > m)
 
 
 def dsbi_fit(series: DataFrame, expression: str, main_var: str = "t", rank: int = 0, numeric: bool = False) -> DataFrame:

@@ -446,6 +446,48 @@ def iterative_exponent(spark: SparkSession, d: str) -> DataFrame:
     return FT.with_fit(s, fits.where("error IS NULL"), e, "x").groupBy("series_id").agg(*rounded(6, rse=M.rse("y", "y_fit")))
 
 
+@query()
+def nonline_raised(spark: SparkSession, d: str) -> DataFrame:
+    s, e = G.curve(spark, "exponential2", 600), B.CLOSED["exp"][0]
+    return _told(s, FT.nonline_fit(s, e, raise_rank=True), e)
+
+
+@query()
+def expo_regression(spark: SparkSession, d: str) -> DataFrame:
+    """a*exp(b*x) + c + d*x by iteration from a start of one number."""
+    s, e, b = G.curve(spark, "exponential2", 600), "a*exp(b*x) + c + d*x", 10
+    fits = FT.iterative_fit(s, e, [b / 10, b / 1000, b + 10, b / 10], "x")
+    return FT.with_fit(s, fits.where("error IS NULL"), e, "x").groupBy("series_id").agg(*rounded(6, rse=M.rse("y", "y_fit")))
+
+
+def _high(name: str, form: str, rank: int) -> None:
+    @query(name=name)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        fits = lsm.fit(S.events(spark, d), rank)
+        a = B.closed_form(form, [F.col("coeffs")[k] for k in range(rank)], False)
+        return fits.select("series_id", *[_significant(v, 4).alias(k) for k, v in a.items()])
+
+
+_high("dsb_cos_cube", "cos_cube", 5)
+_high("dsb_sincos_full", "sincos", 6)
+
+
+@query()
+def settled_rank(spark: SparkSession, d: str) -> DataFrame:
+    return lsm.settled_rank(lsm.best_rank(S.orders(spark, d), range(2, 9)), 2)
+
+
+@query()
+def sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    return X.sensitivity(spark, B.CLOSED["sincos_one"][0], "transcendental1", 1000, [500, 800], [5.0, 20.0])
+
+
+@query()
+def deviation_by_noise(spark: SparkSession, d: str) -> DataFrame:
+    r = X.deviation_by_noise(G.curve(spark, "lab_periodic"), 3, [0.0, 0.5, 1.5])
+    return r.select("series_id", "sigma", *[F.round(c, 6).alias(c) for c in ("mean", "variance", "deviation")])
+
+
 @query()
 def mass_test(spark: SparkSession, d: str) -> DataFrame:
     return X.mass_test(spark, B.CLOSED["exp"][0], "exponential2", [100, 300, 1000], [4, 5]).withColumn("r_sq", F.round("r_sq", 6))
