@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: This process's part of the shared folder; it is removed when the process ends.
+_OWN = uuid.uuid4().hex
+_registered: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; where the session names none (tests), one of our own."""
     found = spark.conf.get(SETTING, None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="trendloom-")
+        made = tempfile.mkdtemp(prefix="trendloom-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        found = f"file://{made}"
         spark.conf.set(SETTING, found)
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/trendloom/{tag}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/trendloom/{_OWN}"
+    if folder not in _registered:
+        _registered.add(folder)
+        atexit.register(_at_exit, spark, folder)
+    return f"{folder}/{tag}-{uuid.uuid4().hex}"
+
+
+def _at_exit(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
@@ -39,16 +61,13 @@ def drop(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_trendloom_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            remove(df.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that cut() has made tables of and that nothing refers to any more."""
     gc.collect()
