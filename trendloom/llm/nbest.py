@@ -39,7 +39,7 @@ BEST = 4
 BYTE_SCORE = -14_000_000
 _NONE = -(1 << 60)
 #: Stretches that a worker keeps.
-CACHE = 1_000_000
+CACHE = 2_000_000
 
 
 class Pieces:
@@ -254,7 +254,7 @@ def encode(docs: DataFrame, keep_columns: list[str], text: str = "text", count:
             column = pc.replace_substring(column.fill_null(""), MARK, " ")
             kept = b.columns[:-1]
             at = 0
-            for row, raw, off in K.slices(column):
+            for row, raw, off in K.slices(column, 2 * K.SLICE):  # each slice looks all its stretches up at once
                 made = encode_slice(known, raw, off, count)
                 lens = np.array([len(m["ids"]) for m in made])
                 flat = np.concatenate([m["ids"] for m in made]) if len(made) else np.zeros(0, np.int32)
