@@ -201,7 +201,7 @@ def count_text(auto: Automaton, text: str, chunk: int = CHUNK) -> int:
 class WordCounts:
     """Counts of stretches by 64-bit hash, as sorted arrays; asks the automaton for new ones."""
 
-    LIMIT = 2_000_000
+    LIMIT = 3_000_000
 
     def __init__(self, auto: Automaton):
         self.auto, self.keys, self.values = auto, np.zeros(0, K.U), np.zeros(0, np.int64)
@@ -281,7 +281,7 @@ def count_tokens(docs: DataFrame, keep_columns: list[str], text: str = "text", m
         counts = worker_counts(model)
         for b in batches:
             size, tokens = [], []
-            for _, raw, off in K.slices(b.column(b.num_columns - 1)):
+            for _, raw, off in K.slices(b.column(b.num_columns - 1), 2 * K.SLICE):
                 size.append(np.diff(off))
                 tokens.append(count_slice(counts, raw, off) if len(raw) <= LONG else np.array([count_text(counts.auto, raw.tobytes().decode())]))
             cols = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (size, tokens)]
