@@ -1,5 +1,6 @@
 """Near copies by random edits: components against brute force."""
 
+import os
 import random
 
 import pytest
@@ -55,3 +56,46 @@ def test_random_near_copies(spark, k, num, den, seed):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.doc_id is not None else -1) for r in ngram_join.join(df, k=k, num=num, den=den).distinct().collect())
     assert got == sorted(set(brute(rows, k, num, den)))
+
+
+def degrees(rows, k, num, den):
+    """(id, how many other rows with an id link with the row), by every pair."""
+    sets = [(i, shingles(t or "", k)) for i, t in rows if i is not None]
+    near = [sum(bool(s and u) and den * len(s & u) >= num * len(s | u) for b, (_, u) in enumerate(sets) if a != b) for a, (_, s) in enumerate(sets)]
+    return [(i, n) for (i, _), n in zip(sets, near)]
+
+
+@pytest.mark.parametrize("k,num,den,seed,again", [(4, 85, 100, 3, False), (5, 80, 100, 4, True)])
+def test_links_are_counted_whole(spark, k, num, den, seed, again):
+    rng = random.Random(seed)
+    rows = []
+    for base in range(6):
+        text = " ".join(f"w{rng.randrange(40 if base % 2 else 4000)}" for _ in range(rng.choice([8, 60, 150, 260])))
+        for _ in range(50):
+            if rng.random() < 0.1:
+                text = edited(rng, text, 2)
+            rows.append((len(rows) * 7 % 1000, edited(rng, text, rng.choice([0, 0, 1, 1, 2, 3, 4, 6]))))
+    rows += [(2000, None), (2001, ""), (2002, "one"), (2003, "ONE"), (2004, "a b c"), (None, rows[0][1])]
+    rows += [rows[5], (rows[9][0], rows[60][1])] if again else []
+    got = ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), k=k, num=num, den=den).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got if r.doc_id is not None) == sorted(degrees(rows, k, num, den))
+    assert [r.n_links for r in got if r.doc_id is None] == [None]
+    told = sorted({(r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.doc_id is not None else -1) for r in got})
+    assert told == sorted(set(brute(rows, k, num, den)))
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_links_equal_the_sql_s(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    rel = con.sql(entry.oracle_sql()["op2_ngram_links"])
+    got = entry.queries()["op2_ngram_links"](spark, SF)
+    assert got.columns == rel.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(rel.fetchall())

@@ -20,6 +20,10 @@ part. That decides all pairs of one pivot without making them. The second pass m
 pivots and different components only, and verifies those that share enough prefix shingles. Every pair is met in one of the two
 passes, so components are exact.
 
+Links are also counted (linked()), those inside a component too. Round one pivot, pairs with w1 + w2 <= (den - num) * |P| link whatever
+they share; they are counted from the sums of each w and not made. The others share differences, and only those whose shared
+differences can do are made, as are all pairs of different pivots that share enough prefix shingles.
+
 Nulls, empty and wordless texts have the empty set and link with nothing. A null id takes no part and has no component.
 Rows with one id and different texts are joined under that id. Ids must be longs.
 """
@@ -181,24 +185,49 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> D
     return cut(full.where(alike).select("a", "b"), "ngram-links")
 
 
-def around_pivots(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """pairs: a and its pivot b. Returns the links (a, b) among documents of one pivot, and (a, b) of those that are decided."""
+def around_pivots(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """pairs: a and its pivot b.
+
+    Returns the links (a, b) of documents with their pivot, those among documents of one pivot, and (a, b, w, t) of the
+    documents that are decided. Among documents of one pivot are told, if every, all links with w1 + w2 > t, else those that
+    components need.
+    """
     full = with_sets(docs, pairs, k).select("a", "b", F.size("y").alias("size"), F.array_except("y", "x").alias("lacks"), F.array_except("x", "y").alias("adds"))
     full = full.withColumns({"w": den * F.size("lacks") + num * F.size("adds"), "t": (den - num) * F.col("size")}).where("w <= 2 * t")
     told = cut(full, "ngram-pivots")
     direct = told.where("w <= t").select("a", "b")
-    # A pair is looked for where one of the two doesn't link with the pivot; of their common differences there are then more than w / (num + den).
-    tokens = told.select("a", "b", (F.col("w") > F.col("t")).alias("far"), (F.size("adds") + F.size("lacks") - F.floor(F.col("w") / (num + den))).alias("ahead"), F.posexplode(F.concat(
-        F.transform("adds", lambda v: F.struct(v.alias("v"), F.lit(True).alias("added"))), F.transform("lacks", lambda v: F.struct(v.alias("v"), F.lit(False).alias("added"))))).alias("at", "d"))
-    tokens = tokens.select("a", "b", "far", (F.col("at") < F.col("ahead")).alias("ahead"), "d.v", "d.added")
-    one = tokens.where("far").select("b", "v", "added", F.col("a").alias("x"), F.col("ahead").alias("x_ahead"))
-    two = tokens.where("ahead").select("b", "v", "added", F.col("a").alias("y"), F.col("far").alias("y_far"))
-    met = one.join(two, ["b", "v", "added"]).where("x <> y AND (NOT y_far OR (x_ahead AND x < y))").select("b", "x", "y").distinct()
+    diffs = F.concat(F.transform("adds", lambda v: F.struct(v.alias("v"), F.lit(True).alias("added"))), F.transform("lacks", lambda v: F.struct(v.alias("v"), F.lit(False).alias("added"))))
+    if every:
+        # All stand in one order, so two documents share at most what either has from their first common difference on.
+        tokens = told.select("a", "b", "w", "t", (F.size("adds") + F.size("lacks")).alias("n"), F.posexplode(diffs).alias("at", "d"))
+        side = lambda x, i: tokens.select("b", "d.v", "d.added", F.col("a").alias(x), F.col("w").alias(f"w{i}"), (F.col("n") - F.col("at")).alias(f"rest{i}"), *["t"] * (i == 1))
+        short = F.col("w1") + F.col("w2") - F.col("t")
+        met = side("x", 1).join(side("y", 2), ["b", "v", "added"]).where((F.col("x") < F.col("y")) & (short > 0) & (short <= (num + den) * F.least("rest1", "rest2"))).select("b", "x", "y").distinct()
+    else:
+        # A pair is looked for where one of the two doesn't link with the pivot; of their common differences there are then more than w / (num + den).
+        tokens = told.select("a", "b", (F.col("w") > F.col("t")).alias("far"), (F.size("adds") + F.size("lacks") - F.floor(F.col("w") / (num + den))).alias("ahead"), F.posexplode(diffs).alias("at", "d"))
+        tokens = tokens.select("a", "b", "far", (F.col("at") < F.col("ahead")).alias("ahead"), "d.v", "d.added")
+        one = tokens.where("far").select("b", "v", "added", F.col("a").alias("x"), F.col("ahead").alias("x_ahead"))
+        two = tokens.where("ahead").select("b", "v", "added", F.col("a").alias("y"), F.col("far").alias("y_far"))
+        met = one.join(two, ["b", "v", "added"]).where("x <> y AND (NOT y_far OR (x_ahead AND x < y))").select("b", "x", "y").distinct()
     p = met.join(told.select("b", F.col("a").alias("x"), F.col("w").alias("w1"), F.col("lacks").alias("l1"), F.col("adds").alias("a1"), "t"), ["b", "x"])
     p = p.join(told.select("b", F.col("a").alias("y"), F.col("w").alias("w2"), F.col("lacks").alias("l2"), F.col("adds").alias("a2")), ["b", "y"])
     common = F.size(F.array_intersect("l1", "l2")) + F.size(F.array_intersect("a1", "a2"))
     among = p.where(F.col("w1") + F.col("w2") - (num + den) * common <= F.col("t")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return cut(direct.unionByName(among), "ngram-links"), told.select("a", "b")
+    return direct, cut(among, "ngram-links") if every else among, told.select("a", "b", "w", "t")
+
+
+def counted_round(decided: DataFrame, weights: DataFrame) -> DataFrame:
+    """(id, n): of each document and pivot, the links round the pivot with w1 + w2 <= t. weights: id, weight (how many rows a set stands for)."""
+    each = decided.withColumnRenamed("a", "id").unionByName(decided.groupBy("b").agg(F.first("t").alias("t")).select(F.col("b").alias("id"), "b", F.lit(0).alias("w"), "t"))
+    each = each.join(weights, "id")
+    sums = each.groupBy("b", "w").agg(F.sum("weight").alias("weight"), F.first("t").alias("t"))
+    # Every w asks for the weight of all up to t - w, so a pivot's sums stand in one line with the places that they ask for.
+    line = sums.select("b", F.col("w").alias("at"), "weight", F.lit(None).cast("int").alias("asks"))
+    line = line.unionByName(sums.select("b", (F.col("t") - F.col("w")).alias("at"), F.lit(0).cast("long").alias("weight"), F.col("w").alias("asks")))
+    upto = F.sum("weight").over(Window.partitionBy("b").orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
+    found = line.withColumn("upto", upto).where("asks IS NOT NULL").select("b", F.col("asks").alias("w"), "upto")
+    return each.join(found, ["b", "w"]).select("id", (F.col("upto") - F.when(2 * F.col("w") <= F.col("t"), F.col("weight")).otherwise(0)).alias("n"))
 
 
 def needed(num: int, den: int, na: str, nb: str, ta: str, tb: str, ma: str, mb: str) -> F.Column:
@@ -219,13 +248,35 @@ def enough(num: int, den: int) -> F.Column:
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every row; component_id is the least id reachable by links (null for a null id)."""
+    return _join(docs, doc_id, text, k, num, den, False)
+
+
+def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """The rows of join() with n_links: how many other rows link with the row's text (null for a null id, and such rows don't count)."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _join(rows, "doc_id", "text", k, num, den, True)
+    # An id of several rows: links are counted between rows, which get numbers of their own; repeats of a row have one number.
+    rows = rows.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    nodes = cut(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("text").alias("text"), F.count("*").alias("times")), "ngram-nodes")
+    groups = join(rows, "doc_id", "text", k, num, den)
+    known = groups.where("doc_id IS NOT NULL").select("doc_id", "component_id").distinct()
+    counts = _join(nodes, "node", "text", k, num, den, True, "times").select(F.col("doc_id").alias("node"), "n_shingles", "n_links")
+    out = rows.where("node IS NOT NULL").select("doc_id", "node").join(counts, "node").join(known, "doc_id").select("doc_id", "n_shingles", "component_id", "n_links")
+    return out.unionByName(groups.where("doc_id IS NULL").withColumn("n_links", F.lit(None).cast("long")))
+
+
+def _join(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int, count: bool, times: str | None = None) -> DataFrame:
+    """count: with n_links; then every id has one row, which stands for as many rows as the column `times` says."""
     spark: SparkSession = docs.sparkSession
     every = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = every.where("id IS NOT NULL")
     surveyed = survey(every, k)
     rows = surveyed.where("kind = 0").select(F.col("doc_id").alias("id"), "n", "data")
+    rows = rows.join(docs.select(F.col(doc_id).alias("id"), times), "id") if times else rows
+    rows = rows.withColumn("times", F.col(times).cast("long") if times else F.lit(1).cast("long"))
     freq = frequency_sketch(surveyed)
-    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("data").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
+    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("data").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.sum("times").alias("weight"))
     reps = classes.select(F.col("rep").alias("id")).distinct()
 
     ahead = prefixes(known, freq, k, num, den).where("n > 0").join(reps, "id", "left_semi")
@@ -240,15 +291,16 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4
     stars = postings.where("id <> least").groupBy("id", "least").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
     stars = stars.where(5 * F.col("shared") >= 2 * (F.col("n") - F.ceil(F.col("n") * num / den) + F.col("m")))
     stars = stars.groupBy("id").agg(F.max(F.struct("shared", (-F.col("least")).alias("neg"))).alias("best"))
-    links, decided = around_pivots(known, stars.select(F.col("id").alias("a"), (-F.col("best.neg")).alias("b")), k, num, den)
+    direct, among, decided = around_pivots(known, stars.select(F.col("id").alias("a"), (-F.col("best.neg")).alias("b")), k, num, den, count)
+    links = cut(direct.unionByName(among), "ngram-links")
     groups = components(links)
     pivots = decided.select(F.col("b").alias("id"), F.col("b").alias("pivot")).distinct()
     pivots = pivots.unionByName(decided.select(F.col("a").alias("id"), F.col("b").alias("pivot")).join(pivots.select("id"), "id", "left_anti"))
     groups = cut(groups.withColumnRenamed("node", "id").join(pivots, "id", "full"), "ngram-groups")
 
-    # Second pass: pairs of different pivots and components.
+    # Second pass: pairs of different pivots and, unless links are counted, components.
     placed = postings.drop("least").join(groups, "id", "left").withColumns({"component": F.coalesce("component", "id"), "pivot": F.coalesce("pivot", "id")})
-    mixed = placed.groupBy("token").agg(*[f(c).alias(c[0] + n) for c in ("component", "pivot") for f, n in ((F.min, "lo"), (F.max, "hi"))]).where("clo < chi AND plo < phi").select("token")
+    mixed = placed.groupBy("token").agg(*[f(c).alias(c[0] + n) for c in ("component", "pivot") for f, n in ((F.min, "lo"), (F.max, "hi"))]).where("plo < phi" if count else "clo < chi AND plo < phi").select("token")
     placed = cut(placed.join(mixed, "token"), "ngram-placed")
     drop(postings)
     # Of a document's tokens that others have, how many stand from each one on: partners share none before their first common one.
@@ -257,11 +309,16 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4
     other = each.select("token", *[F.col(c).alias(c + "_b") for c in each.columns[1:]])
     sized = (den * F.col("hi_b") >= num * F.col("lo")) & (den * F.col("hi") >= num * F.col("lo_b"))
     need = needed(num, den, "lo", "lo_b", "hi", "hi_b", "m", "m_b")
-    apart = F.least("c_lo", "c_lo_b") < F.greatest("c_hi", "c_hi_b")
+    apart = F.lit(True) if count else F.least("c_lo", "c_lo_b") < F.greatest("c_hi", "c_hi_b")
     near = each.join(other, "token").where((F.col("pivot") < F.col("pivot_b")) & apart & sized & (F.least("rest", "rest_b") >= need)).select("token", "pivot", "pivot_b", need.alias("need"))
     side = lambda s: placed.select("token", F.col("pivot").alias("pivot" + "_b" * (s == "b")), F.col("id").alias(s), *[F.col(c).alias(c[0] + s) for c in ("n", "m", "rest", "component")])
-    met = near.join(side("a"), ["token", "pivot"]).where("ra >= need").join(side("b"), ["token", "pivot_b"]).where("rb >= need AND ca <> cb")
+    met = near.join(side("a"), ["token", "pivot"]).where("ra >= need").join(side("b"), ["token", "pivot_b"]).where("rb >= need" if count else "rb >= need AND ca <> cb")
     met = met.withColumn("shared", F.least("ra", "rb")).where(enough(num, den)).select("a", "b").distinct()
+    if count:
+        # A pivot can have a pivot too; the pairs round that one are told.
+        own = lambda s: decided.select(F.col("a").alias(s), F.col("b").alias("p" + s))
+        met = met.join(own("a"), "a", "left").join(own("b"), "b", "left")
+        met = met.where(~(F.coalesce(F.col("pa") == F.col("pb"), F.lit(False)) | F.coalesce(F.col("pa") == F.col("b"), F.lit(False)) | F.coalesce(F.col("pb") == F.col("a"), F.lit(False)))).select("a", "b")
     # What is shared in all, and at the smaller of the two lengths.
     whole = lambda s: ahead.select(F.col("id").alias(s), *[F.col(c).alias(c[0] + s) for c in ("n", "m", "base", "tokens")])
     full = met.join(whole("a"), "a").join(whole("b"), "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
@@ -273,4 +330,15 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4
     copies = rows.where("n > 0 AND id IS NOT NULL").join(classes.where("rep < last").select("data", "rep"), "data").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(more).unionByName(copies))
     out = rows.select("id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "id"), "id", "left")
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    out = out.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    if not count:
+        return out
+    weights = classes.select(F.col("rep").alias("id"), "weight")
+    pairs = among.unionByName(more)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    made = both.join(weights.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), F.col("weight").alias("n"))
+    sums = counted_round(decided, weights).unionByName(made).groupBy("id").agg(F.sum("n").alias("n"))
+    of_class = classes.join(sums.withColumnRenamed("id", "rep"), "rep", "left").select("data", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    each = rows.where("n > 0 AND id IS NOT NULL").join(of_class, "data").select(F.col("id").alias("doc_id"), "links")
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).cast("long")
+    return out.join(each, "doc_id", "left").withColumn("n_links", n_links).drop("links")

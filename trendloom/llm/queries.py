@@ -62,6 +62,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of op2_ngram_join and how many other rows each one links with."""
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -134,6 +139,11 @@ m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id FROM documents d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+OP2_LINKS_SQL = OP2_SQL.replace(
+    "SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id FROM documents d",
+    "SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, coalesce(x.n_links, 0)::BIGINT AS n_links\nFROM documents d LEFT JOIN (SELECT a, count(*) AS n_links FROM e GROUP BY a) x ON x.a = d.doc_id",
+)
+
 OP5_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 - 49)::BIGINT)) AS i FROM d WHERE length(h) >= 100)),
@@ -153,6 +163,7 @@ QUERIES = {
     "op1_nbest_pieces": op1_nbest_pieces,
     "op4_token_counts": op4_token_counts,
     "op2_ngram_join": op2_ngram_join,
+    "op2_ngram_links": op2_ngram_links,
     "op3_toxicity": op3_toxicity,
     "op6_temperature_mixing": op6_temperature_mixing,
     "op7_quality_cascade": op7_quality_cascade,
@@ -162,6 +173,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_ngram_join": OP2_SQL,
+    "op2_ngram_links": OP2_LINKS_SQL,
     "op5_suffix_dedup": OP5_SQL,
     "op6_temperature_mixing": OP6_SQL,
     "op7_quality_cascade": OP7_SQL,
