@@ -311,6 +311,14 @@ def test_random_laws(spark, law, a, b, mean, var):
     assert p[0] == 1 and p[1] == 49
 
 
+def test_growing_prefixes_cover_the_reference_s_grid(spark):
+    from trendloom.plans import catalogue
+
+    got = catalogue.QUERIES["growing_prefixes"](spark, "").collect()
+    assert sorted(r["size"] for r in got) == list(range(400, 2200, 20))
+    assert {r.series_id for r in got} == {"transcendental1"} and all(0 <= r.score <= 2 for r in got)
+
+
 def test_sweeps(spark):
     m = {(r.series_id, r["rank"]): r for r in X.mass_test(spark, B.CLOSED["exp"][0], "exponential2", [100, 300], [4]).collect()}
     assert len(m) == 2 and all(r.error is None for r in m.values())

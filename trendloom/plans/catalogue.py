@@ -510,7 +510,7 @@ def monte_carlo(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def growing_prefixes(spark: SparkSession, d: str) -> DataFrame:
-    return X.growing_prefixes(G.curve(spark, "combined1"), list(range(400, 2000, 200)), 7)
+    return X.growing_prefixes(G.add_noise(G.curve(spark, "transcendental1", 2200), 0.1), list(range(400, 2200, 20)), 10)
 
 
 @query()
