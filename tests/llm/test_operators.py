@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from trendloom.llm import bpe_automaton, components, kernel, licenses, mixing, nbest, ngram_join, quality, sketches, suffix_runs, toxicity, warc
+from trendloom.llm import bpe_automaton, components, kernel, licenses, mixing, nbest, ngram_join, quality, queries, sketches, suffix_runs, toxicity, warc
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -94,6 +95,25 @@ def test_nbest_of_a_text_and_round_trip(docs, empty):
     assert nbest.encode(empty, ["doc_id"]).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_op1_tells_every_path(spark):
+    p = nbest.Pieces()
+    texts = {r.doc_id: (r.text or "").replace(nbest.MARK, " ") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = queries.op1_nbest_pieces(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(texts) and any(len(r.nbest) == 4 for r in rows)
+    for r in rows:
+        assert [x.score for x in r.nbest] == r.scores and r.n_pieces == len(r.ids)
+        assert hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest() == r.ids_sha256
+        paths = set()
+        for x in r.nbest:
+            ids = list(r.ids)
+            for c in sorted(x.changes, key=lambda c: -c["at"]):
+                ids[c["at"] : c["at"] + c.dropped] = c.ids
+            paths.add(tuple(ids))
+            assert nbest.decode_ids(p, np.array(ids, np.int64)).decode() == texts[r.doc_id]
+        assert len(paths) == len(r.nbest)
+
+
 # ------------------------------------------------------------------ 2
 def test_join_on_awkward_rows(docs, empty):
     from .test_join_fuzz import brute

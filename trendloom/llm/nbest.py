@@ -219,7 +219,7 @@ def encode_slice(known: Stretches, raw: np.ndarray, off: np.ndarray, count: int)
         g = gap[a:b]
         near = np.argsort(g, kind="stable")[: count - 1] if len(g) <= 64 else _smallest(g, count - 1)
         near = sorted(int(i) + a for i in near if g[i] < -_NONE)
-        paths = [known.pieces.search(text_of(i), count) for i in near]
+        paths = [_led(known.pieces.search(text_of(i), count), flat[begin[i] : begin[i + 1]].tolist()) for i in near]
         nbest = []
         for loss, choice in best_sums([[p[0][0] - x for x, _ in p] for p in paths], count):
             nbest.append((best - loss, [(int(begin[i] - begin[a]), int(size[i]), list(p[c][1])) for i, p, c in zip(near, paths, choice) if c]))
@@ -227,6 +227,12 @@ def encode_slice(known: Stretches, raw: np.ndarray, off: np.ndarray, count: int)
     return out
 
 
+def _led(paths: list[tuple], best: list[int]) -> list[tuple]:
+    """The paths with the one that was taken as the best in front; where several score alike the search may put another first."""
+    others = [p for p in paths if list(p[1]) != best]
+    return [(paths[0][0], best), *others][: len(paths)]
+
+
 def _smallest(g: np.ndarray, n: int) -> np.ndarray:
     """Places of the n smallest, equal ones by position."""
     edge = np.partition(g, n - 1)[n - 1]

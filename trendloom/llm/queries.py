@@ -55,7 +55,7 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = nbest.encode(table(spark, sf_dir, "documents"), ["doc_id"])
-    return coded.select("doc_id", "n_pieces", "scores", F.size("nbest").alias("n_best"), F.expr("transform(nbest, x -> size(x.changes))").alias("n_changes"), "ids_sha256", "decoded_sha256", "round_trip")
+    return coded.select("doc_id", "ids", "n_pieces", "scores", "nbest", F.size("nbest").alias("n_best"), F.expr("transform(nbest, x -> size(x.changes))").alias("n_changes"), "ids_sha256", "decoded_sha256", "round_trip")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
