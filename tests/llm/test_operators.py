@@ -359,6 +359,12 @@ def test_licences(spark, docs, empty):
     assert licenses.scan(empty, ["doc_id"]).count() == 0
 
 
+def test_notice_at_the_start_of_a_text(spark):
+    rows = [(0, "a licensex undr the apche license and more"), (1, "some words before a licensex undr the apche license and more")]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert got == {0: "apache", 1: "apache"}
+
+
 # ------------------------------------------------------------------ 9
 def test_sketch_against_next(docs, empty):
     d = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])

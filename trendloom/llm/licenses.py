@@ -100,10 +100,10 @@ def scan_slice(raw: np.ndarray, off: np.ndarray, notices: list[Notice]) -> tuple
         for shift, seed in notice.seeds:
             for at in _places(hay, seed):
                 row = int(np.searchsorted(begin, at, "right")) - 1
-                left = max(int(begin[row]), at - shift - notice.edits)
-                if left in looked:
+                if at - shift in looked:
                     continue
-                looked.add(left)
+                looked.add(at - shift)
+                left = max(int(begin[row]), at - shift - notice.edits)
                 right = min(int(begin[row + 1]) - 1, at - shift + len(notice.text) + notice.edits)
                 m = notice.rx.search(hay, left, right)
                 if m and (span := m.span()) not in done:
