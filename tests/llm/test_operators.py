@@ -427,6 +427,19 @@ def test_warc_round_trip_and_lookup(spark, tmp_path):
     assert warc.read_archives(spark, warc.build_index(none, index), index, archive).count() == 0
 
 
+@pytest.mark.parametrize("lines", [2, 3000])
+def test_addresses_with_spaces_are_found(spark, tmp_path, monkeypatch, lines):
+    monkeypatch.setattr(warc, "BLOCK_LINES", lines)
+    urls = [f"http://x/a{c}{d}" for c in (" ", "\u00a0", "\u3000", "z", "$", "%", "é", "") for d in "bcd"] * 2 + [None, ""]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit("x")).repartition(1)
+    archive, index = f"file://{tmp_path}/a", f"file://{tmp_path}/i"
+    directory = warc.build_index(warc.write_archives(pages, archive), index)
+    want = sorted(range(len(urls)))
+    asked = pages.select("url").distinct().where("url <> ''").unionByName(spark.createDataFrame([(None,)], "url string"))
+    assert sorted(r.page_id for r in warc.lookup(asked, "url", directory, index, archive).collect()) == want
+    assert sorted(r.page_id for r in warc.read_captures(pages, directory, index, archive).collect()) == want
+
+
 def test_directory_stays_bounded(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 10)
     monkeypatch.setattr(warc, "DIRECTORY_ENTRIES", 40)

@@ -48,9 +48,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive, index = new_path(spark, "warc"), new_path(spark, "warc-index")
-    manifest = warc.write_archives(table(spark, sf_dir, "pages"), archive)
+    pages = table(spark, sf_dir, "pages")
+    manifest = warc.write_archives(pages, archive)
     directory = warc.build_index(manifest, index)
-    return warc.read_archives(spark, directory, index, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_captures(pages, directory, index, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op1_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def capture_key(url: str | None) -> str:
-    """http://www.Example.org:80/a?b -> org,example,www)/a?b"""
+    """http://www.Example.org:80/a?b -> org,example,www)/a?b, with white space quoted, as the index sorts and stores it."""
     if not url:
         return ""
     try:
@@ -49,7 +49,7 @@ def capture_key(url: str | None) -> str:
     except ValueError:
         return quote(url.strip().lower(), safe="/?&=,:;()")
     key = ",".join(reversed(host.split("."))) + (f":{port}" if port and port not in (80, 443) else "")
-    return f"{key}){u.path or '/'}" + (f"?{u.query}" if u.query else "")
+    return _clean(f"{key}){u.path or '/'}" + (f"?{u.query}" if u.query else ""))
 
 
 def _clean(text: str) -> str:
@@ -166,7 +166,7 @@ def build_index(manifest: DataFrame, folder: str) -> list[tuple[str, str, int, i
 
         for b in batches:
             for key, i, name, offset, length in zip(*(c.to_pylist() for c in b.columns)):
-                block.append(f"{_clean(key)}\t{'' if i is None else i}\t{name}\t{offset}\t{length}")
+                block.append(f"{key}\t{'' if i is None else i}\t{name}\t{offset}\t{length}")
                 if len(block) >= lines:
                     flush()
         if block:
@@ -210,12 +210,19 @@ def _told(found: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for _, k, t in cols], [n for n, _, _ in cols])
 
 
-def find(url: str, directory: list[tuple], index: Ranges) -> Iterable[tuple[str, int, int]]:
-    """(file, offset, length) of every capture of an address: bisect the directory, then the blocks from there on."""
-    key = _clean(capture_key(url))
+class Index:
+    """Blocks of the index by their place; keeps a few, so keys in order read each block once."""
+
+    def __init__(self, folder: str):
+        files = Ranges(folder)
+        self.block = lru_cache(4)(lambda *place: block_lines(files.read(*place)))
+
+
+def find(key: str, directory: list[tuple], index: Index) -> Iterable[tuple[str, int, int]]:
+    """(file, offset, length) of every capture of a key: bisect the directory, then the blocks from there on."""
     at = max(0, bisect.bisect_left(directory, (key,)) - 1)
     while at < len(directory) and directory[at][0] <= key:
-        lines = block_lines(index.read(*directory[at][1:]))
+        lines = index.block(*directory[at][1:])
         i = bisect.bisect_left(lines, [key])
         while i < len(lines) and lines[i][0] == key:
             yield lines[i][2], int(lines[i][3]), int(lines[i][4])
@@ -227,8 +234,34 @@ def lookup(urls: DataFrame, url: str, directory: list[tuple], index_folder: str,
     """The captures of each given address (READ_SCHEMA rows); the directory is bounded, so every task holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, archive = Ranges(index_folder), Ranges(folder)
+        index, archive = Index(index_folder), Ranges(folder)
         for b in batches:
-            yield _told([parse(archive.read(*place)) for u in b.column(0).to_pylist() for place in find(u, directory, index)])
+            yield _told([parse(archive.read(*place)) for u in b.column(0).to_pylist() for place in find(capture_key(u), directory, index)])
 
     return urls.select(url).mapInArrow(run, READ_SCHEMA)
+
+
+def read_captures(pages: DataFrame, directory: list[tuple], index_folder: str, folder: str, url: str = "url") -> DataFrame:
+    """Every capture of the pages' addresses, each key looked up once by bisection; an address may have any number of captures."""
+    place = "file string, offset long, length long"
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([capture_key(u) for u in b.column(0).to_pylist()], pa.string())], ["key"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(index_folder)
+        for b in batches:
+            cols = list(zip(*(p for k in b.column(0).to_pylist() for p in find(k, directory, index)))) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()))], ["file", "offset", "length"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive = Ranges(folder)
+        for b in batches:
+            rows = list(zip(*(c.to_pylist() for c in b.columns)))
+            for i in range(0, len(rows), 1000):
+                yield _told([parse(archive.read(*p)) for p in rows[i : i + 1000]])
+
+    asked = cut(pages.select(url).mapInArrow(keys, "key string").distinct(), "warc-keys")
+    found = cut(asked.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(places, place), "warc-places")
+    return found.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, READ_SCHEMA)
