@@ -319,6 +319,14 @@ def test_growing_prefixes_cover_the_reference_s_grid(spark):
     assert {r.series_id for r in got} == {"transcendental1"} and all(0 <= r.score <= 2 for r in got)
 
 
+def test_mass_tests_cover_the_reference_s_grids(spark):
+    from trendloom.plans import catalogue
+
+    grid = lambda name: sorted((int(r.series_id.split("@")[1]), r["rank"]) for r in catalogue.QUERIES[name](spark, "").collect())
+    assert grid("mass_test") == [(s, r) for s in (10, 100, 200, 500, 1000, 2000) for r in range(3, 7)]
+    assert grid("polynomial_mass_test") == [(s, r) for s in (10, 100, 1000, 10_000) for r in range(2, 10)]
+
+
 def test_sweeps(spark):
     m = {(r.series_id, r["rank"]): r for r in X.mass_test(spark, B.CLOSED["exp"][0], "exponential2", [100, 300], [4]).collect()}
     assert len(m) == 2 and all(r.error is None for r in m.values())

@@ -27,13 +27,14 @@ def prefixes(series: DataFrame, sizes: list[int]) -> DataFrame:
     return each.withColumns({"series_id": F.concat_ws("@", "series_id", F.col("size").cast("string")), "n": F.col("size")}).drop("size")
 
 
-def mass_test(spark: SparkSession, expression: str, curve: str, sizes: list[int], ranks: list[int], numeric: bool = False) -> DataFrame:
-    """series_id, rank, error (null where it could be fitted), r_sq, for each size and rank."""
+def mass_test(spark: SparkSession, expression: str, curve: str, sizes: list[int], ranks: list[int], numeric: bool = False, noisy: bool = False) -> DataFrame:
+    """series_id, rank, error (null where it could be fitted), r_sq against the ideal curve, for each size and rank."""
     out = None
     grid = prefixes(G.curve(spark, curve, max(sizes)), sizes)
+    grid = G.add_noise(grid) if noisy else grid.withColumn("y_ideal", F.col("y"))
     for r in ranks:
-        fits = FT.dsb_fit(grid, expression, rank=r, numeric=numeric)
-        scored = FT.with_fit(grid, fits.where("error IS NULL"), expression).groupBy("series_id").agg(M.r_sq_fit("y", "y_fit").alias("r_sq"))
+        fits = FT.dsb_fit(grid.drop("y_ideal"), expression, rank=r, numeric=numeric)
+        scored = FT.with_fit(grid, fits.where("error IS NULL"), expression).groupBy("series_id").agg(M.r_sq_fit("y_ideal", "y_fit").alias("r_sq"))
         one = fits.select("series_id", F.lit(r).alias("rank"), "error").join(scored, "series_id", "left")
         out = one if out is None else out.unionByName(one)
     return out

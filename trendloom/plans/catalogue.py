@@ -490,12 +490,12 @@ def deviation_by_noise(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mass_test(spark: SparkSession, d: str) -> DataFrame:
-    return X.mass_test(spark, B.CLOSED["exp"][0], "exponential2", [100, 300, 1000], [4, 5]).withColumn("r_sq", F.round("r_sq", 6))
+    return X.mass_test(spark, "a0 + a1*t + exp(a2*t)", "exponential2", [10, 100, 200, 500, 1000, 2000], [3, 4, 5, 6], numeric=True, noisy=True).withColumn("r_sq", F.round("r_sq", 6))
 
 
 @query()
 def polynomial_mass_test(spark: SparkSession, d: str) -> DataFrame:
-    return X.polynomial_mass_test(spark, "exponential1", [50, 200], range(2, 5)).withColumn("r_sq", F.round("r_sq", 6))
+    return X.polynomial_mass_test(spark, "exponential1", [10, 100, 1000, 10_000], range(2, 10)).withColumn("r_sq", F.round("r_sq", 6))
 
 
 @query()
@@ -505,7 +505,7 @@ def perform_test(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def monte_carlo(spark: SparkSession, d: str) -> DataFrame:
-    return X.monte_carlo(G.curve(spark, "exponential1", 1000), 3, 100, 5.0)
+    return X.monte_carlo(G.curve(spark, "exponential1", 10_000), 3, 100, 5.0)
 
 
 @query()
