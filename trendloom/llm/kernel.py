@@ -60,34 +60,78 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93)) | U(1)
+#: Spans are hashed as polynomials in BASE modulo the Mersenne prime P. BASE was drawn at random once (hashes that are put out
+#: must not change between runs), so two given strings of at most n bytes collide with a chance of n / P, about n * 4e-19.
+P = U((1 << 61) - 1)
+BASE = 0x1A3F_5C97_E20B_D64D % ((1 << 61) - 1)
+#: Powers are kept for as many bytes; longer texts go on from block to block.
+BLOCK = 1 << 20
+_VALUE = np.arange(1, 257, dtype=U)
 
 
-@lru_cache(2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(base: int) -> np.ndarray:
-        p = np.full(size, base, U)
-        p[0] = 1
-        return np.multiply.accumulate(p)
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo P."""
+    x = (x & P) + (x >> U(61))
+    return np.where(x >= P, x - P, x)
 
-    return run(_BASE), run(pow(_BASE, -1, 1 << 64))
 
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo P, of numbers below 2**61."""
+    low = U((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> U(31), a & low, b >> U(31), b & low
+    mid = a1 * b0 + a0 * b1
+    return reduced(U(2) * a1 * b1 + (mid >> U(30)) + ((mid & U((1 << 30) - 1)) << U(31)) + reduced(a0 * b0))
 
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(19, int(size + 1).bit_length()))
+
+def _run(base: int, size: int) -> np.ndarray:
+    out = np.ones(size, U)
+    n = 1
+    while n < size:
+        out[n : 2 * n] = times(out[:n], np.full(1, pow(base, n, int(P)), U))
+        n *= 2
+    return out
+
+
+@lru_cache(1)
+def powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Upper 30 and lower 31 bits of BASE ** i, and BASE ** -i, for i below BLOCK."""
+    p = _run(BASE, BLOCK)
+    return p >> U(31), p & U((1 << 31) - 1), _run(pow(BASE, -1, int(P)), BLOCK)
 
 
 def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """S with S[i] the sum of byte values times base powers before i; spans are hashed by span_hash."""
+    """S with S[i] the sum, modulo P, of byte values times base powers before i; spans are hashed by span_hash."""
+    high, low, _ = powers()
     s = np.zeros(len(raw) + 1, U)
-    np.cumsum(_BYTE[raw] * powers(len(raw))[0][: len(raw)], out=s[1:])
+    for at in range(0, len(raw), BLOCK):
+        v = _VALUE[raw[at : at + BLOCK]]
+        n = len(v)
+        a = np.cumsum(v * high[:n])  # below 2**58
+        x = (a >> U(30)) + ((a & U((1 << 30) - 1)) << U(31))
+        x += np.cumsum(v * low[:n])  # below 2**59
+        x = reduced(x)
+        s[at + 1 : at + n + 1] = reduced(times(x, np.full(1, pow(BASE, at, int(P)), U)) + s[at]) if at else x
     return s
 
 
 def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans [start, end), alike wherever they stand."""
-    return mix((s[end] - s[start]) * powers(len(s))[1][start])
+    back = powers()[2]
+    x = times(reduced(s[end] + (P - s[start])), back[start & (BLOCK - 1)])
+    if len(s) > BLOCK:
+        blocks = np.array([pow(BASE, -i * BLOCK, int(P)) for i in range(len(s) // BLOCK + 1)], U)
+        x = times(x, blocks[start // BLOCK])
+    return mix(x)
+
+
+def gram_hash(raw: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the 24 bytes from each place on. They pick and sort out candidates only; equal ones are compared."""
+    words = np.ndarray((len(raw) - 7,), np.dtype("<u8"), np.ascontiguousarray(raw), strides=(1,))
+    n = len(raw) - 23
+    h = words[:n] * U(0x9E3779B97F4A7C15)
+    h += words[8 : n + 8] * U(0xD6E8FEB86659FD93)
+    h += words[16 : n + 16] * U(0xC2B2AE3D27D4EB4F)
+    return mix(h)
 
 
 def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
