@@ -9,18 +9,21 @@ paths in falling order of score without ever expanding a node that isn't on one
 No piece crosses the start of a word mark that follows another character, so the lattice of a text is a chain of stretches
 joined at single nodes. A path with the n-th best score differs from the best in no stretch but the n - 1 with the smallest gaps
 between best and second best, so the backward search runs there only; the others keep their best path. Stretches are
-looked up by 64-bit hash in a bounded cache of each worker.
+looked up by 64-bit hash in a bounded cache of each worker. Every row is decoded and held against its text; where two stretches
+had one hash that shows, and the row is encoded again without the cache.
 
-Null and empty texts have no pieces, score 0 and one empty path. Ties: equal paths of a stretch go by piece ids, equal gaps
-by position. Texts are encoded whole. A mark in a text is a space to the model, and decodes to one.
+Null and empty texts have no pieces, score 0 and one empty path. Ties: equal paths of a stretch go in the order of the search,
+equal gaps by position. Texts are encoded whole. A mark in a text is a space to the model, and decodes to one.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import itertools
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +61,7 @@ class Pieces:
             elif text[i]:
                 rank = -proc.get_score(i)
                 self.score[name] = (-round(1e6 * math.log((rank if rank < 1e8 else 1) + 2)), i)
+        self.longest = max(map(len, self.score))
         self.begun = {n[:k] for n in self.score for k in range(1, len(n) + 1)}
         self.starts = np.concatenate([[0], np.cumsum([len(t) for t in text])])
         self.text = np.frombuffer(b"".join(text), np.uint8)
@@ -76,55 +80,75 @@ class Pieces:
             if found:
                 yield k, found[0], found[1:]
 
-    def forward(self, text: str) -> tuple[list[int], int, tuple[int, ...]]:
+    def forward(self, text: str) -> tuple[array, int, tuple[int, ...]]:
         """Best score from the start to each node; the second best score to the end; the best path."""
         n, get, begun = len(text), self.score.get, self.begun
-        best, second = [_NONE] * (n + 1), [_NONE] * (n + 1)
-        back: list = [None] * (n + 1)
+        best, second = array("q", [_NONE]) * (n + 1), array("q", [_NONE]) * (n + 1)
+        back = array("q", [0]) * (n + 1)
         best[0] = 0
         for i in range(n):
             b, s = best[i], second[i]
             if get(text[i]) is None:
-                step = self.edges(text, i)
+                step = ((i + 1, BYTE_SCORE * len(text[i].encode())),)
             else:
                 step = []
                 for k in range(i + 1, n + 1):
                     piece = text[i:k]
                     found = get(piece)
                     if found is not None:
-                        step.append((k, found[0], found[1:]))
+                        step.append((k, found[0]))
                     elif piece not in begun:
                         break
-            for k, e, ids in step:
+            for k, e in step:
                 t = b + e
                 if t > best[k]:
                     second[k] = max(best[k], s + e)
-                    best[k], back[k] = t, (i, ids)
+                    best[k], back[k] = t, i
                 elif t > second[k]:
                     second[k] = t
-        path: list[tuple[int, ...]] = []
-        k = n
-        while k:
-            k, ids = back[k]
-            path.append(ids)
-        return best, second[n], tuple(x for ids in reversed(path) for x in ids)
+        cuts = [n]
+        while cuts[-1]:
+            cuts.append(back[cuts[-1]])
+        cuts.reverse()
+        return best, second[n], tuple(x for i, k in itertools.pairwise(cuts) for x in self.ids_of(text[i:k]))
+
+    def ids_of(self, piece: str) -> tuple[int, ...]:
+        """The id of a piece, or the byte pieces of a character outside the vocabulary."""
+        found = self.score.get(piece)
+        return found[1:] if found else tuple(self.byte[x] for x in piece.encode())
 
     def search(self, text: str, count: int) -> list[tuple[int, tuple[int, ...]]]:
-        """The `count` best (score, ids), by A-star from the end with the forward scores as heuristics."""
-        best = self.forward(text)[0]
-        into: list[list] = [[] for _ in range(len(text) + 1)]
-        for i in range(len(text)):
-            for k, e, ids in self.edges(text, i):
-                into[k].append((i, e, ids))
-        heap = [(-best[-1], (), len(text), 0)]
+        """The `count` best (score, ids), by A-star from the end with the forward scores as heuristics.
+
+        As the heuristics are exact, each open entry has a complete path of just its estimate, and no two entries have a
+        path in common. So only as many of the best entries as paths are still asked for need be kept open, and what is
+        held is `count` chains of places. Paths that tie come in the order of the search, which depends on the text only.
+        """
+        best, get = self.forward(text)[0], self.score.get
+        order = itertools.count()
+        open_: list[tuple] = [(-best[-1], next(order), len(text), 0, None)]  # falling estimate; place, score from there on, (place, chain)
         out: list[tuple[int, tuple[int, ...]]] = []
-        while heap and len(out) < count:
-            _, ids, k, done = heapq.heappop(heap)
+        while open_ and len(out) < count:
+            _, _, k, done, chain = open_.pop(0)
+            chain = k, chain
             if k == 0:
-                out.append((done, ids))
+                ids: list[int] = []
+                at, rest = chain
+                while rest:
+                    ids.extend(self.ids_of(text[at : rest[0]]))
+                    at, rest = rest
+                out.append((done, tuple(ids)))
                 continue
-            for i, e, more in into[k]:
-                heapq.heappush(heap, (-(done + e + best[i]), more + ids, i, done + e))
+            room = count - len(out)
+            if get(text[k - 1]) is None:
+                step = [(k - 1, BYTE_SCORE * len(text[k - 1].encode()))]
+            else:
+                step = [(i, found[0]) for i in range(max(0, k - self.longest), k) if (found := get(text[i:k])) and get(text[i])]
+            for i, e in step:
+                told = -(done + e + best[i])
+                if len(open_) < room or told < open_[-1][0]:
+                    bisect.insort(open_, (told, next(order), i, done + e, chain))
+                    del open_[room:]
         return out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
@@ -183,8 +207,11 @@ def best_sums(options: list[list[int]], count: int) -> list[tuple[int, tuple[int
     return heapq.nsmallest(count, every)
 
 
-def encode_slice(known: Stretches, raw: np.ndarray, off: np.ndarray, count: int) -> list[dict]:
-    """For each row: ids (best path), nbest: [(score, [(first id, ids replaced, new ids), ...]), ...]."""
+def encode_slice(known: Stretches, raw: np.ndarray, off: np.ndarray, count: int, by_hash: bool = True) -> list[dict]:
+    """For each row: ids (best path), nbest: [(score, [(first id, ids replaced, new ids), ...]), ...].
+
+    Without by_hash, no stretch is taken for equal to another.
+    """
     rows = len(off) - 1
     real = np.diff(off) > 0
     space = raw == 32
@@ -197,9 +224,11 @@ def encode_slice(known: Stretches, raw: np.ndarray, off: np.ndarray, count: int)
     first = np.searchsorted(starts, off)
     head = np.zeros(len(starts), bool)
     head[first[:-1][real]] = True
-    s = K.prefix_hash(raw)
-    plain = K.span_hash(s, starts, ends)
-    hashes = np.where(head, K.mix(plain + K.U(1)), plain)
+    if by_hash:
+        plain = K.span_hash(K.prefix_hash(raw), starts, ends)
+        hashes = np.where(head, K.mix(plain + K.U(1)), plain)
+    else:
+        hashes = np.arange(len(starts), dtype=K.U)
     data = raw.tobytes()
 
     def text_of(i: int) -> str:
@@ -240,6 +269,19 @@ def _smallest(g: np.ndarray, n: int) -> np.ndarray:
     return at[np.argsort(g[at], kind="stable")[:n]]
 
 
+def checked(known: Stretches, raw: np.ndarray, off: np.ndarray, count: int) -> list[tuple[dict, bytes]]:
+    """encode_slice with each row's decoded bytes; a row that doesn't decode to itself met a stretch of the same hash and is encoded again."""
+    out = []
+    data = raw.tobytes()
+    for i, m in enumerate(encode_slice(known, raw, off, count)):
+        t = decode_ids(known.pieces, m["ids"])
+        if t != data[off[i] : off[i + 1]]:
+            m = encode_slice(Stretches(known.pieces), raw[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]]), count, False)[0]
+            t = decode_ids(known.pieces, m["ids"])
+        out.append((m, t))
+    return out
+
+
 def decode_ids(pieces: Pieces, ids: np.ndarray) -> bytes:
     return pieces.decode(ids).tobytes()[1:]
 
@@ -261,12 +303,10 @@ def encode(docs: DataFrame, keep_columns: list[str], text: str = "text", count:
             kept = b.columns[:-1]
             at = 0
             for row, raw, off in K.slices(column, 2 * K.SLICE):  # each slice looks all its stretches up at once
-                made = encode_slice(known, raw, off, count)
+                made, texts = zip(*checked(known, raw, off, count))
                 lens = np.array([len(m["ids"]) for m in made])
                 flat = np.concatenate([m["ids"] for m in made]) if len(made) else np.zeros(0, np.int32)
-                texts = [decode_ids(known.pieces, m["ids"]) for m in made]
                 data = raw.tobytes()
-                same = [t == data[off[i] : off[i + 1]] for i, t in enumerate(texts)]
                 cols = [
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(flat, pa.int32())),
                     pa.array(lens, pa.int64()),
@@ -274,7 +314,7 @@ def encode(docs: DataFrame, keep_columns: list[str], text: str = "text", count:
                     pa.array([[{"score": s, "changes": [{"at": x, "dropped": y, "ids": z} for x, y, z in c]} for s, c in m["nbest"]] for m in made], NBEST),
                     pa.array([hashlib.sha256(m["ids"].astype("<i4").tobytes()).hexdigest() for m in made]),
                     pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
-                    pa.array(same, pa.bool_()),
+                    pa.array([t == data[off[i] : off[i + 1]] for i, t in enumerate(texts)], pa.bool_()),
                 ]
                 n = len(made)
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, n) for c in kept), *cols], [*b.schema.names[:-1], *NAMES])
