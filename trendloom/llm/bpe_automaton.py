@@ -8,12 +8,14 @@ i, the last piece of text[:j], and how many tokens text[:j] has less than text[:
 states; reading a character moves to the next state and is annotated with the change of the token count. States and
 transitions are made when first met and kept by each worker: there are finitely many, as pieces are of bounded length.
 
-No piece of a model of this kind has a word mark after another character, so wherever a word mark follows a character that
-isn't one the automaton is in its start state whatever came before. A text is cut into chunks of CHUNK characters;
-the map from states to states of a chunk is constant but for the part before its first such boundary. A chunk is summarised as
-(open head, count of the closed middle, open tail), summaries compose associatively, and a scan composes those of a
-text; long texts need not be read in one go. Counts of whole words between boundaries are looked up by hash, all of a
-slice at once.
+A stretch of text is summarised by its state map: from the state before it to the state after it and the tokens emitted. Maps
+compose associatively. No piece of a model of this kind has a word mark after another character, so wherever a word mark
+follows a character that isn't one the automaton is in its start state whatever came before: a stretch between two such boundaries has a
+constant map, one number, and the prefix scan over those is a running sum, which a task makes over all stretches of many rows
+at once. Equal stretches have equal maps, so a map is looked up by the stretch's hash (and its bytes are compared with those of
+the one it was made for). A stretch longer than CHUNK characters is cut into chunks with maps of their own, each
+first asked for the state that reading the characters in front of it leads to; a scan composes them in rounds, and a map is asked
+for another state only where that guess was wrong. Rows longer than PART bytes are counted part by part, cut at boundaries.
 
 Null texts are empty and have no tokens. Special strings in a text are ordinary text.
 """
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
@@ -32,12 +35,19 @@ from . import kernel as K
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-CHUNK = 1 << 15
+#: Characters of a chunk of a long stretch, and how many before it tell the state it is likely to start in.
+CHUNK = 1 << 12
+AHEAD = 64
+#: Bytes of a part of a long row.
+PART = 1 << 20
 #: States (of the order of a kilobyte each) and pair tests that a worker keeps; beyond, they are made anew when met.
 MAX_STATES = 200_000
 MAX_FITS = 500_000
+#: Stretches, and bytes of them, whose maps a worker keeps.
+MAX_WORDS = 3_000_000
+MAX_WORD_BYTES = 64 << 20
 #: (characters under way, last piece before them, tokens before them less than now)
-_START = (("", "", 0),)
+START = (("", "", 0),)
 
 
 class Automaton:
@@ -58,17 +68,18 @@ class Automaton:
         self.flush()
 
     def flush(self) -> None:
-        """Forget the states made so far; only between texts."""
-        self.ids = {_START: 0}
-        self.states = [_START]
+        """Forget the states made so far; states are known by number inside run() only."""
+        self.ids = {START: 0}
+        self.states = [START]
         self.next: list[dict[str, tuple[int, int]]] = [{}]
 
-    def tidy(self) -> None:
-        """Keep within MAX_STATES and MAX_FITS; only between texts."""
-        if len(self.states) > MAX_STATES:
-            self.flush()
-        if len(self.fits) > MAX_FITS:
-            self.fits.clear()
+    def number(self, entries: tuple) -> int:
+        found = self.ids.get(entries)
+        if found is None:
+            found = self.ids[entries] = len(self.states)
+            self.states.append(entries)
+            self.next.append({})
+        return found
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE of a few characters (to compile transitions, never texts)."""
@@ -99,7 +110,7 @@ class Automaton:
         last = None
         if char not in self.score:
             last, change = "\0", len(char.encode())  # bytes; they merge with nothing, so nothing is under way
-            new = _START
+            new = START
         else:
             for under, before, less in old:
                 piece = under + char
@@ -114,74 +125,76 @@ class Automaton:
                 if piece in self.begun and len(piece) < self.longest:
                     entries.append((piece, before, less + change))
             new = tuple(entries)
-        number = self.ids.get(new)
-        if number is None:
-            number = self.ids[new] = len(self.states)
-            self.states.append(new)
-            self.next.append({})
+        number = self.number(new)
         self.next[state][char] = number, change
         return number, change
 
-    def run(self, state: int, text: str) -> tuple[int, int]:
-        """(state after, tokens emitted) of a piece of marked text."""
-        count, table = 0, self.next
-        for c in text:
-            known = table[state].get(c)
-            state, change = known if known is not None else self.step(state, c)
-            count += change
+    def run(self, state: tuple, text: str) -> tuple[tuple, int]:
+        """(state after, tokens emitted) of marked text. Keeps within MAX_STATES and MAX_FITS, whatever the text's length."""
+        count = 0
+        for at in range(0, len(text), CHUNK):
+            if len(self.states) > MAX_STATES:
+                self.flush()
+            if len(self.fits) > MAX_FITS:
+                self.fits.clear()
+            table, now = self.next, self.number(state)
+            for c in text[at : at + CHUNK]:
+                known = table[now].get(c)
+                now, change = known if known is not None else self.step(now, c)
+                count += change
+            state = self.states[now]
         return state, count
 
     def word(self, text: str) -> int:
-        """Tokens of a closed stretch between boundaries."""
-        self.tidy()
-        return self.run(0, text)[1]
+        """Tokens of a stretch between boundaries, from the start state."""
+        return self.run(START, text)[1] if len(text) <= CHUNK else scan(chunk_maps(self, text, CHUNK), START)[1]
+
 
+class ChunkMap:
+    """State map of a chunk, known for the states it was asked for."""
 
-class Summary:
-    """Map of a chunk: from any state, run head; if the chunk is closed, add count and go on from the start through tail."""
+    __slots__ = ("auto", "chunk", "known")
 
-    __slots__ = ("head", "closed", "count", "tail")
+    def __init__(self, auto: Automaton, chunk: str, before: str):
+        """before: the characters in front; what state they lead to is only a guess at what the chunk will be asked for."""
+        self.auto, self.chunk, self.known = auto, chunk, {}
+        self(auto.run(START, before)[0])
+
+    def __call__(self, state: tuple) -> tuple[tuple, int]:
+        found = self.known.get(state)
+        if found is None:
+            found = self.known[state] = self.auto.run(state, self.chunk)
+        return found
 
-    def __init__(self, head: str, closed: bool, count: int = 0, tail: str = ""):
-        self.head, self.closed, self.count, self.tail = head, closed, count, tail
 
-    @classmethod
-    def of(cls, auto: Automaton, chunk: str, before: str) -> Summary:
-        """before: the character in front of the chunk, which decides whether a boundary stands at its start."""
-        cuts = boundaries(chunk, before)
-        if not cuts:
-            return cls(chunk, False)
-        count = sum(auto.word(chunk[a:b]) for a, b in zip(cuts, cuts[1:]))
-        return cls(chunk[: cuts[0]], True, count, chunk[cuts[-1] :])
+class Composed:
+    """The map of two neighbouring ones, known for the states that the first one knows."""
 
-    def then(self, auto: Automaton, other: Summary) -> Summary:
-        if not self.closed:
-            return Summary(self.head + other.head, other.closed, other.count, other.tail)
-        if not other.closed:
-            return Summary(self.head, True, self.count, self.tail + other.head)
-        return Summary(self.head, True, self.count + auto.word(self.tail + other.head) + other.count, other.tail)
+    __slots__ = ("first", "second", "known")
 
-    def tokens(self, auto: Automaton) -> int:
-        """From the start state."""
-        return auto.run(0, self.head)[1] + (self.count + auto.run(0, self.tail)[1] if self.closed else 0)
+    def __init__(self, first: ChunkMap | Composed, second: ChunkMap | Composed):
+        self.first, self.second, self.known = first, second, {}
+        for state in list(first.known):
+            self(state)
+
+    def __call__(self, state: tuple) -> tuple[tuple, int]:
+        found = self.known.get(state)
+        if found is None:
+            middle, one = self.first(state)
+            after, two = self.second(middle)
+            found = self.known[state] = after, one + two
+        return found
 
 
-def boundaries(text: str, before: str = MARK) -> list[int]:
-    """Where a word mark follows a character that isn't one."""
-    out, at = [], text.find(MARK)
-    while at >= 0:
-        if (text[at - 1] if at else before) != MARK:
-            out.append(at)
-        at = text.find(MARK, at + 1)
-    return out
+def chunk_maps(auto: Automaton, text: str, chunk: int) -> list[ChunkMap]:
+    return [ChunkMap(auto, text[i : i + chunk], text[max(0, i - AHEAD) : i]) for i in range(0, len(text), chunk)]
 
 
-def scan(summaries: list[Summary], auto: Automaton) -> Summary:
-    """Compose neighbouring chunk maps in rounds, halves at a time."""
-    while len(summaries) > 1:
-        pairs = [a.then(auto, b) for a, b in zip(summaries[::2], summaries[1::2])]
-        summaries = pairs + summaries[len(summaries) & ~1 :]
-    return summaries[0]
+def scan(maps: list, state: tuple) -> tuple[tuple, int]:
+    """Compose neighbouring maps in rounds, and ask the one of all for a state."""
+    while len(maps) > 1:
+        maps = [Composed(a, b) for a, b in zip(maps[::2], maps[1::2])] + maps[len(maps) & ~1 :]
+    return maps[0](state)
 
 
 def marked(text: str) -> str:
@@ -190,41 +203,56 @@ def marked(text: str) -> str:
 
 
 def count_text(auto: Automaton, text: str, chunk: int = CHUNK) -> int:
-    """Tokens of one text, by chunks."""
+    """Tokens of one text, by the maps of its chunks alone."""
     t = marked(text)
-    if not t:
-        return 0
-    parts = [Summary.of(auto, t[i : i + chunk], t[i - 1] if i else MARK) for i in range(0, len(t), chunk)]
-    return scan(parts, auto).tokens(auto)
+    return scan(chunk_maps(auto, t, chunk), START)[1] if t else 0
 
 
 class WordCounts:
-    """Counts of stretches by 64-bit hash, as sorted arrays; asks the automaton for new ones."""
-
-    LIMIT = 3_000_000
+    """Counts of known stretches by 64-bit hash, with their bytes; asks the automaton for new ones."""
 
     def __init__(self, auto: Automaton):
-        self.auto, self.keys, self.values = auto, np.zeros(0, K.U), np.zeros(0, np.int64)
+        self.auto = auto
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.rows = np.zeros(0, K.U), np.zeros((0, 3), np.int64)  # tokens, first byte, bytes
+        self.data = np.zeros(0, np.uint8)
 
-    def of(self, hashes: np.ndarray, text_of) -> np.ndarray:
+    def of(self, hashes: np.ndarray, flat: np.ndarray, size: np.ndarray, text_of) -> np.ndarray:
+        """flat: the bytes of the stretches one after the other, `size` of each; text_of: a stretch's marked text."""
+        if len(self.keys) > MAX_WORDS or len(self.data) > MAX_WORD_BYTES:
+            self.clear()
         each, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, each), max(len(self.keys) - 1, 0))
         known = self.keys[at] == each if len(self.keys) else np.zeros(len(each), bool)
-        out = np.empty(len(each), np.int64)
-        out[known] = self.values[at[known]]
-        fresh = np.flatnonzero(~known)
-        word = self.auto.word
-        out[fresh] = [word(text_of(i)) for i in first[fresh].tolist()]
-        if len(self.keys) + len(fresh) > self.LIMIT:
-            self.keys, self.values = each, out
-        elif len(fresh):
-            keys = np.concatenate([self.keys, each[fresh]])
+        fresh = first[np.flatnonzero(~known)]
+        begin = np.cumsum(size) - size
+        if len(fresh):
+            word = self.auto.word
+            n = size[fresh]
+            made = np.stack([np.fromiter((word(text_of(i)) for i in fresh.tolist()), np.int64, len(fresh)), len(self.data) + np.cumsum(n) - n, n], 1)
+            self.data = np.concatenate([self.data, flat[_ranges(begin[fresh], n)]])
+            keys = np.concatenate([self.keys, hashes[fresh]])
             order = np.argsort(keys, kind="stable")
-            self.keys, self.values = keys[order], np.concatenate([self.values, out[fresh]])[order]
-        return out[back]
+            self.keys, self.rows = keys[order], np.concatenate([self.rows, made])[order]
+            at = np.searchsorted(self.keys, each)
+        out, place, length = self.rows[at][back].T
+        other = length != size
+        if other.any() or not np.array_equal(self.data[_ranges(place, length)], flat):  # two stretches have one hash
+            out = out.copy()
+            for i in range(len(out)):
+                if other[i] or not np.array_equal(self.data[place[i] : place[i] + size[i]], flat[begin[i] : begin[i] + size[i]]):
+                    out[i] = self.auto.word(text_of(i))
+        return out
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
-_MARK_BYTES = MARK.encode()
 _KEPT: dict[str, WordCounts] = {}
 
 
@@ -235,12 +263,11 @@ def worker_counts(model: str) -> WordCounts:
     return _KEPT[model]
 
 
-#: A chunk of a slice longer than this goes by summaries instead of arrays.
-LONG = 8 << 20
+def count_slice(counts: WordCounts, raw: np.ndarray, off: np.ndarray, begun: bool = False) -> np.ndarray:
+    """Tokens of each row of a slice: its stretches start at the row's start and where a space follows a non-space.
 
-
-def count_slice(counts: WordCounts, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Tokens of each row of a slice: its stretches start at the row's start and where a space follows a non-space."""
+    begun: the (only) row is a later part of a text, and starts at a boundary.
+    """
     n = len(off) - 1
     if not len(raw):
         return np.zeros(n, np.int64)
@@ -252,26 +279,37 @@ def count_slice(counts: WordCounts, raw: np.ndarray, off: np.ndarray) -> np.ndar
     ends = np.append(starts[1:], len(raw))
     first = np.searchsorted(starts, off)
     head = np.zeros(len(starts), bool)
-    head[first[:-1][np.diff(off) > 0]] = True
-    # A row's first stretch has a mark in front: it is hashed and read with a space more, like any other.
-    s = K.prefix_hash(raw)
-    plain = K.span_hash(s, starts + (space[starts] & ~head), ends)
-    hashes = np.where(space[starts] | head, plain, K.mix(plain + K.U(1)))
+    if not begun:
+        head[first[:-1][np.diff(off) > 0]] = True
+    # A row's first stretch has a mark in front, others have a space there: either is left out of what is hashed and compared.
+    skip = ~head
+    inner = np.ones(len(raw), bool)
+    inner[starts[skip]] = False
     data = raw.tobytes()
 
     def text_of(i: int) -> str:
-        t = data[starts[i] : ends[i]].decode("utf-8").replace(" ", MARK)
-        return MARK + t if head[i] else t
+        return MARK + data[starts[i] + int(skip[i]) : ends[i]].decode("utf-8").replace(" ", MARK)
 
-    got = counts.of(hashes, text_of)
+    got = counts.of(K.span_hash(K.prefix_hash(raw), starts + skip, ends), raw[inner], ends - starts - skip, text_of)
     total = np.concatenate([[0], np.cumsum(got)])
-    out = total[first[1:]] - total[first[:-1]]
-    at = data.find(_MARK_BYTES)
-    while at >= 0:  # a mark in the text itself stands for a space, which the arrays don't see
-        row = int(np.searchsorted(off, at, "right")) - 1
-        out[row] = count_text(counts.auto, data[off[row] : off[row + 1]].decode())
-        at = data.find(_MARK_BYTES, int(off[row + 1]))
-    return out
+    return total[first[1:]] - total[first[:-1]]
+
+
+def count_row(counts: WordCounts, raw: np.ndarray) -> int:
+    """Tokens of one long row, in parts that start at boundaries; a part without one is a single stretch."""
+    space = raw == 32
+    ends = np.append(np.flatnonzero(space[1:] & ~space[:-1]) + 1, len(raw))
+    total, at = 0, 0
+    while at < len(raw):
+        end = int(ends[min(max(np.searchsorted(ends, at + PART, "right") - 1, np.searchsorted(ends, at, "right")), len(ends) - 1)])
+        part = raw[at:end]
+        if len(part) > PART:  # one stretch
+            text = part[int(at > 0) :].tobytes().decode()
+            total += counts.auto.word(marked(text))
+        else:
+            total += int(count_slice(counts, part, np.array([0, len(part)]), at > 0)[0])
+        at = end
+    return total
 
 
 def count_tokens(docs: DataFrame, keep_columns: list[str], text: str = "text", model: str = MODEL) -> DataFrame:
@@ -280,10 +318,10 @@ def count_tokens(docs: DataFrame, keep_columns: list[str], text: str = "text", m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = worker_counts(model)
         for b in batches:
-            size, tokens = [], []
-            for _, raw, off in K.slices(b.column(b.num_columns - 1), 2 * K.SLICE):
-                size.append(np.diff(off))
-                tokens.append(count_slice(counts, raw, off) if len(raw) <= LONG else np.array([count_text(counts.auto, raw.tobytes().decode())]))
+            column = b.column(b.num_columns - 1).fill_null("")
+            size, tokens = [pc.binary_length(column).to_numpy().astype(np.int64)], []
+            for _, raw, off in K.slices(pc.replace_substring(column, MARK, " "), PART):  # a mark in a text stands for a space
+                tokens.append(count_slice(counts, raw, off) if len(raw) <= PART else np.array([count_row(counts, raw)]))
             cols = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (size, tokens)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*b.schema.names[:-1], "n_bytes", "n_tokens"])
 
