@@ -13,14 +13,14 @@ HEAVY = 4096
 LEAST_HEAVY = 64
 
 
-def with_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def with_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined with the row that `classes` has for their key. total: how many rows there are; size: the column of classes with
     how many of them each has. The rows of a large class stay where they are instead of meeting in one task."""
     bound = max(LEAST_HEAVY, total // HEAVY)
     heavy = F.broadcast(classes.where(F.col(size) > bound).drop(size))
     light = classes.where(F.col(size) <= bound).drop(size)
     rest = rows.join(heavy.select(key), key, "left_anti")
-    return rows.join(heavy, key).unionByName(rest.join(light, key))
+    return rows.join(heavy, key).unionByName(rest.join(light, key, how))
 
 
 def _least(pairs: DataFrame) -> DataFrame:

@@ -29,7 +29,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .components import with_classes
+from .storage import cut, partitions
 
 REVISIT_BYTES = 1000
 BLOCK_LINES = 3000
@@ -124,13 +125,15 @@ class Ranges:
 
 
 def deduplicated(pages: DataFrame, page_id: str, url: str, payload: str) -> DataFrame:
-    """page_id, url, payload, digest, refers_id, refers_url (null: a response)."""
+    """page_id, url, payload, digest, refers_id, refers_url (null: a response). Only large payloads move to meet their copies."""
     p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload")).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     large = F.octet_length("payload") >= REVISIT_BYTES
-    best = p.where(large & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("best_id"), F.max_by("url", "page_id").alias("best_url"))
-    j = p.join(best, "digest", "left")
-    again = large & F.col("best_id").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("best_id")))
-    return j.select("page_id", "url", "payload", "digest", F.when(again, F.col("best_id")).alias("refers_id"), F.when(again, F.coalesce("best_url", F.lit(""))).alias("refers_url"))
+    best = p.where(large).groupBy("digest").agg(F.max("page_id").alias("best_id"), F.max_by("url", "page_id").alias("best_url"), F.count("*").alias("times"))
+    j = with_classes(p.where(large), best.where("times > 1 AND best_id IS NOT NULL"), "digest", "times", pages.count(), "left")
+    again = F.col("best_id").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("best_id")))
+    told = j.select("page_id", "url", "payload", "digest", F.when(again, F.col("best_id")).alias("refers_id"), F.when(again, F.coalesce("best_url", F.lit(""))).alias("refers_url"))
+    none = F.lit(None)
+    return told.unionByName(p.where(~large).withColumns({"refers_id": none.cast("long"), "refers_url": none.cast("string")}))
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
@@ -152,7 +155,10 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 
 def build_index(manifest: DataFrame, folder: str) -> list[tuple[str, str, int, int]]:
     """Sort the manifest into compressed blocks; return the directory: (first key, file, offset, length), sorted."""
-    lines = max(BLOCK_LINES, -(-manifest.count() // (DIRECTORY_ENTRIES // 2)))
+    rows = manifest.count()
+    lines = max(BLOCK_LINES, -(-rows // (DIRECTORY_ENTRIES // 2)))
+    # Each task ends with a block that isn't full, so tasks are bounded as well.
+    tasks = max(1, min(partitions(manifest.sparkSession), -(-rows // lines), DIRECTORY_ENTRIES // 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = Files(folder, ".cdx.z")
@@ -175,11 +181,13 @@ def build_index(manifest: DataFrame, folder: str) -> list[tuple[str, str, int, i
         cols = list(zip(*firsts)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["key", "file", "offset", "length"])
 
-    dealt = manifest.repartitionByRange("key", "page_id", "offset").sortWithinPartitions("key", "page_id", "offset")
-    rows = dealt.mapInArrow(run, "key string, file string, offset long, length long").collect()
-    if len(rows) > DIRECTORY_ENTRIES:
-        raise ValueError(f"{len(rows)} blocks: use fewer partitions")
-    return sorted(tuple(r) for r in rows)
+    dealt = manifest.repartitionByRange(tasks, "key", "page_id", "offset").sortWithinPartitions("key", "page_id", "offset")
+    return sorted(tuple(r) for r in dealt.mapInArrow(run, "key string, file string, offset long, length long").collect())
+
+
+def verified(member: bytes) -> dict:
+    """parse(), which checks the payload against its digest, without the payload."""
+    return {**parse(member), "payload": None}
 
 
 def block_lines(data: bytes) -> list[list[str]]:
@@ -199,7 +207,7 @@ def read_archives(spark: SparkSession, directory: list[tuple], index_folder: str
         index, archive = Ranges(index_folder), Ranges(folder)
         for b in batches:
             for name, offset, length in zip(*(c.to_pylist() for c in b.columns[1:])):
-                found = [parse(archive.read(f, int(o), int(n))) for _, _, f, o, n in block_lines(index.read(name, offset, length))]
+                found = [verified(archive.read(f, int(o), int(n))) for _, _, f, o, n in block_lines(index.read(name, offset, length))]
                 yield _told(found)
 
     return places.repartition(tasks).mapInArrow(run, READ_SCHEMA)
@@ -236,7 +244,7 @@ def lookup(urls: DataFrame, url: str, directory: list[tuple], index_folder: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, archive = Index(index_folder), Ranges(folder)
         for b in batches:
-            yield _told([parse(archive.read(*place)) for u in b.column(0).to_pylist() for place in find(capture_key(u), directory, index)])
+            yield _told([verified(archive.read(*place)) for u in b.column(0).to_pylist() for place in find(capture_key(u), directory, index)])
 
     return urls.select(url).mapInArrow(run, READ_SCHEMA)
 
@@ -260,7 +268,7 @@ def read_captures(pages: DataFrame, directory: list[tuple], index_folder: str, f
         for b in batches:
             rows = list(zip(*(c.to_pylist() for c in b.columns)))
             for i in range(0, len(rows), 1000):
-                yield _told([parse(archive.read(*p)) for p in rows[i : i + 1000]])
+                yield _told([verified(archive.read(*p)) for p in rows[i : i + 1000]])
 
     asked = cut(pages.select(url).mapInArrow(keys, "key string").distinct(), "warc-keys")
     found = cut(asked.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(places, place), "warc-places")
