@@ -31,6 +31,7 @@ Rows with one id and different texts are joined under that id. Ids must be longs
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .components import components
+from .components import components, with_classes
 from .storage import cut, drop
 
 SKETCH = 1 << 20
@@ -276,7 +277,7 @@ def _join(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int, c
     rows = rows.join(docs.select(F.col(doc_id).alias("id"), times), "id") if times else rows
     rows = rows.withColumn("times", F.col(times).cast("long") if times else F.lit(1).cast("long"))
     freq = frequency_sketch(surveyed)
-    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("data").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.sum("times").alias("weight"))
+    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("data").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.sum("times").alias("weight"), F.count("*").alias("size"))
     reps = classes.select(F.col("rep").alias("id")).distinct()
 
     ahead = prefixes(known, freq, k, num, den).where("n > 0").join(reps, "id", "left_semi")
@@ -305,14 +306,16 @@ def _join(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int, c
     drop(postings)
     # Of a document's tokens that others have, how many stand from each one on: partners share none before their first common one.
     placed = cut(placed.withColumn("rest", F.count("*").over(Window.partitionBy("id").orderBy(F.desc("at")))).drop("at"), "ngram-open")
-    each = placed.groupBy("token", "pivot").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("m").alias("m"), F.max("rest").alias("rest"), F.min("component").alias("c_lo"), F.max("component").alias("c_hi"))
-    other = each.select("token", *[F.col(c).alias(c + "_b") for c in each.columns[1:]])
+    # Partners differ in size by the threshold at most, so they stand in one size band or in neighbouring ones, which the join asks for.
+    placed = placed.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(1.0001 * den / num)).cast("int"))
+    each = placed.groupBy("token", "pivot", "band").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("m").alias("m"), F.max("rest").alias("rest"), F.min("component").alias("c_lo"), F.max("component").alias("c_hi"))
+    other = each.select("token", *[F.col(c).alias(c + "_b") for c in each.columns[1:]], F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("near"))
     sized = (den * F.col("hi_b") >= num * F.col("lo")) & (den * F.col("hi") >= num * F.col("lo_b"))
     need = needed(num, den, "lo", "lo_b", "hi", "hi_b", "m", "m_b")
     apart = F.lit(True) if count else F.least("c_lo", "c_lo_b") < F.greatest("c_hi", "c_hi_b")
-    near = each.join(other, "token").where((F.col("pivot") < F.col("pivot_b")) & apart & sized & (F.least("rest", "rest_b") >= need)).select("token", "pivot", "pivot_b", need.alias("need"))
-    side = lambda s: placed.select("token", F.col("pivot").alias("pivot" + "_b" * (s == "b")), F.col("id").alias(s), *[F.col(c).alias(c[0] + s) for c in ("n", "m", "rest", "component")])
-    met = near.join(side("a"), ["token", "pivot"]).where("ra >= need").join(side("b"), ["token", "pivot_b"]).where("rb >= need" if count else "rb >= need AND ca <> cb")
+    near = each.withColumn("near", F.col("band")).join(other, ["token", "near"]).where((F.col("pivot") < F.col("pivot_b")) & apart & sized & (F.least("rest", "rest_b") >= need)).select("token", "pivot", "band", "pivot_b", "band_b", need.alias("need"))
+    side = lambda s: placed.select("token", *[F.col(c).alias(c + "_b" * (s == "b")) for c in ("pivot", "band")], F.col("id").alias(s), *[F.col(c).alias(c[0] + s) for c in ("n", "m", "rest", "component")])
+    met = near.join(side("a"), ["token", "pivot", "band"]).where("ra >= need").join(side("b"), ["token", "pivot_b", "band_b"]).where("rb >= need" if count else "rb >= need AND ca <> cb")
     met = met.withColumn("shared", F.least("ra", "rb")).where(enough(num, den)).select("a", "b").distinct()
     if count:
         # A pivot can have a pivot too; the pairs round that one are told.
@@ -327,7 +330,8 @@ def _join(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int, c
     candidates = full.where(enough(num, den)).where(matched >= match)
     more = verified(known, candidates, k, num, den)
 
-    copies = rows.where("n > 0 AND id IS NOT NULL").join(classes.where("rep < last").select("data", "rep"), "data").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    total = rows.count()
+    copies = with_classes(rows.where("n > 0 AND id IS NOT NULL"), classes.where("rep < last").select("data", "rep", "size"), "data", "size", total).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(more).unionByName(copies))
     out = rows.select("id", F.col("n").alias("n_shingles")).join(found.withColumnRenamed("node", "id"), "id", "left")
     out = out.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id"))
@@ -338,7 +342,7 @@ def _join(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int, c
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     made = both.join(weights.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), F.col("weight").alias("n"))
     sums = counted_round(decided, weights).unionByName(made).groupBy("id").agg(F.sum("n").alias("n"))
-    of_class = classes.join(sums.withColumnRenamed("id", "rep"), "rep", "left").select("data", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"))
-    each = rows.where("n > 0 AND id IS NOT NULL").join(of_class, "data").select(F.col("id").alias("doc_id"), "links")
+    of_class = classes.join(sums.withColumnRenamed("id", "rep"), "rep", "left").select("data", "size", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    each = with_classes(rows.where("n > 0 AND id IS NOT NULL"), of_class, "data", "size", total).select(F.col("id").alias("doc_id"), "links")
     n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).cast("long")
     return out.join(each, "doc_id", "left").withColumn("n_links", n_links).drop("links")
