@@ -450,6 +450,32 @@ def test_quality_counts_and_order(docs, empty):
     assert quality.quality(empty, ["doc_id"]).count() == 0
 
 
+def test_rules_are_charged_what_the_cascade_pays(monkeypatch):
+    """Base counts are made before rules are timed; a rule over them makes none."""
+    made = []
+    for name in ("_n_symbols", "_word_chars", "_lines", "_n_repeat_words", "_n_upper", "_n_function"):
+        def spy(self, name=name, real=getattr(quality.Texts, name)):
+            made.append(name)
+            return real(self)
+
+        monkeypatch.setattr(quality.Texts, name, spy)
+    monkeypatch.setattr(quality.Texts, "_n_dup_lines", quality.Texts._lines)
+    monkeypatch.setattr(quality.Texts, "_n_lines", quality.Texts._lines)
+    good = [t for t in texts() if t and len(WORD.findall(t)) >= 60][:20]
+    told = quality.measured(good)
+    assert len(told) == len(quality.RULES) and made.count("_n_symbols") == made.count("_lines") == 1
+    assert made.count("_n_upper") == made.count("_n_function") == 1
+    assert quality.measured([]) == [(0.0, 0)] * len(quality.RULES)
+
+
+def test_order_follows_rejections_per_second(spark, monkeypatch):
+    monkeypatch.setattr(quality, "measured", lambda texts, rules: [(2.0, 1), (1.0, 9), (0.5, 0), (1.0, 9), (0.1, 5), (9.0, 9), (1.0, 1), (1.0, 0)])
+    d = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    order = [r.name for r in quality.rule_order(d)]
+    want = sorted(range(8), key=lambda i: -[1.5 / 2, 9.5, 1.0, 9.5, 55, 9.5 / 9, 1.5, 0.5][i])
+    assert order == [quality.RULES[i].name for i in want]
+
+
 def test_cascade_order_doesn_t_change_the_verdict():
     raw, off = kernel.string_bytes(pa.array([t or "" for t in texts()]))
     verdicts = {tuple(quality.cascade(quality.Texts(raw, off), rules).tolist()) for rules in (quality.RULES, quality.RULES[::-1])}
@@ -481,6 +507,46 @@ def test_notice_at_the_start_of_a_text(spark):
 
 
 # ------------------------------------------------------------------ 9
+P61 = (1 << 61) - 1
+M64 = (1 << 64) - 1
+
+
+def plain_mix(h):
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 & M64
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB & M64
+    return h ^ h >> 31
+
+
+def plain_sketch(text):
+    """The fingerprint in plain Python: word hashes, five-word shingles, those under a quarter of 2**64, 24 bits of each."""
+    words = [plain_mix(sum((c + 1) * pow(kernel.BASE, i, P61) for i, c in enumerate(w.encode())) % P61) for w in WORD.findall((text or "").translate(LOWER))]
+    if not words:
+        return b"", set()
+
+    def chain(ws):
+        h = 0
+        for j, w in enumerate(ws):
+            h = plain_mix(h ^ w ^ (j + 1))
+        return h
+
+    shingles = {chain(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {plain_mix(chain(words) ^ (0xABCD + len(words)))}
+    digest = hashlib.blake2b(b"".join(w.to_bytes(8, "little") for w in words), digest_size=6).digest()
+    return digest, {h >> 38 for h in shingles if h < 1 << 62}
+
+
+def plain_likeness(a, b):
+    if not a[1] or not b[1]:
+        return float(a[0] == b[0])
+    return len(a[1] & b[1]) / min(len(a[1]), len(b[1]))
+
+
+def as_plain(code):
+    digest, codes = sketches.decode(code)
+    return digest, set(codes.tolist())
+
+
 def test_sketch_against_next(docs, empty):
     d = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rows = sorted(((r.doc_id, r.text or "") for r in d.collect()), reverse=True)
@@ -489,14 +555,18 @@ def test_sketch_against_next(docs, empty):
         third = len(t) // 3
         e = t[: len(t) - third] + after[:third]
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
-        assert (got[i].fingerprint, got[i].edited_fingerprint) == tuple(sketches.encode(x) for x in sketches.sketches(pa.array([t, e])))
-        assert 0 <= got[i].near_next <= 1 and 0 <= got[i].near_edited <= 1
+        own, edited, following = plain_sketch(t), plain_sketch(e), plain_sketch(after)
+        assert (as_plain(got[i].fingerprint), as_plain(got[i].edited_fingerprint)) == (own, edited)
+        assert (got[i].near_edited, got[i].near_next) == (plain_likeness(own, edited), plain_likeness(own, following))
     prints = {}
     for i, t in rows:
         assert prints.setdefault(t, got[i].fingerprint) == got[i].fingerprint
     assert sketches.against_next(empty).count() == 0
     assert sketches.against_next(docs).count() == docs.count()
     assert sketches.against_next(d.limit(1)).count() == 1
+    other = d.select("doc_id", "text", F.lit(1).alias("fingerprint"), F.lit(2).alias("part"))
+    assert sketches.against_next(other).count() == len(rows)
+    assert sketches.fingerprint(other, other.columns).columns == ["doc_id", "text", "fingerprint_in", "part", "fingerprint"]
 
 
 def test_sketches_merge_and_contain():
@@ -505,12 +575,30 @@ def test_sketches_merge_and_contain():
     a, b = [word() for _ in range(4000)], [word() for _ in range(300)]
     part, whole = sketches.sketches(pa.array([" ".join(a[:400]), " ".join(a)]))
     assert sketches.containment(sketches.encode(part), sketches.encode(whole)) == 1.0
-    one, two, both = sketches.sketches(pa.array([" ".join(a), " ".join(b), " ".join(a) + " " + " ".join(b)]))
-    joined = sketches.decode(sketches.merge(sketches.encode(one), sketches.encode(two)))
-    assert len(np.setdiff1d(sketches.decode(sketches.encode(both)), joined)) <= 4  # shingles across the seam
-    half = sketches.sketches(pa.array([" ".join(a[:2000] + b)]))[0]
-    assert abs(sketches.likeness(half, one) - 1996 / 2296) < 0.1
-    assert sketches.sketches(pa.array([None, "", "one"]))[2].size == 1
+    one, two, both = (sketches.encode(x) for x in sketches.sketches(pa.array([" ".join(a), " ".join(b), " ".join(a) + " " + " ".join(b)])))
+    joined = sketches.decode(sketches.merge(one, two))[1]
+    assert len(np.setdiff1d(sketches.decode(both)[1], joined)) <= 4  # shingles across the seam
+    half = sketches.encode(sketches.sketches(pa.array([" ".join(a[:2000] + b)]))[0])
+    assert abs(sketches.containment(half, one) - 1996 / 2296) < 0.1
+
+
+def test_short_texts_in_long_ones():
+    """What a short text has under the threshold is found in any text that holds it; where it has none nothing is claimed."""
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(10**4)}" for _ in range(2000)]
+    whole = sketches.sketches(pa.array([" ".join(long)]))[0]
+    told = []
+    for _ in range(400):
+        at = rng.randrange(1990)
+        s = sketches.sketches(pa.array([" ".join(long[at : at + 8])]))[0]
+        c = sketches.containment(sketches.encode(s), sketches.encode(whole))
+        assert c == (1.0 if len(s[1]) else None) and sketches.likeness(s, whole) == (c or 0.0)
+        told.append(c)
+    assert told.count(1.0) > 200
+    one, same, other = sketches.sketches(pa.array(["only Three words", "ONLY three  words", "three other words"]))
+    assert sketches.likeness(one, same) == 1.0 and (one[0] == same[0]) and one[0] != other[0]
+    none, blank = sketches.sketches(pa.array([None, " "]))
+    assert sketches.likeness(none, blank) == 1.0 and sketches.likeness(none, one) == 0.0
 
 
 # ------------------------------------------------------------------ 10
