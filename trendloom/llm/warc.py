@@ -154,7 +154,10 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
 
 
 def build_index(manifest: DataFrame, folder: str) -> list[tuple[str, str, int, int]]:
-    """Sort the manifest into compressed blocks; return the directory: (first key, file, offset, length), sorted."""
+    """Sort the manifest into compressed blocks; return the directory: (first key, file, offset, length) in the order of keys.
+
+    Of blocks with one first key, the only one that may go on to other keys comes last.
+    """
     rows = manifest.count()
     lines = max(BLOCK_LINES, -(-rows // (DIRECTORY_ENTRIES // 2)))
     # Each task ends with a block that isn't full, so tasks are bounded as well.
@@ -167,7 +170,7 @@ def build_index(manifest: DataFrame, folder: str) -> list[tuple[str, str, int, i
 
         def flush() -> None:
             data = zlib.compress("\n".join(block).encode(), 6)
-            firsts.append((block[0].split("\t", 1)[0], *files.add(data), len(data)))
+            firsts.append((*(x.split("\t", 1)[0] for x in (block[0], block[-1])), *files.add(data), len(data)))
             block.clear()
 
         for b in batches:
@@ -178,11 +181,12 @@ def build_index(manifest: DataFrame, folder: str) -> list[tuple[str, str, int, i
         if block:
             flush()
         files.close()
-        cols = list(zip(*firsts)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["key", "file", "offset", "length"])
+        cols = list(zip(*firsts)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["key", "last", "file", "offset", "length"])
 
     dealt = manifest.repartitionByRange(tasks, "key", "page_id", "offset").sortWithinPartitions("key", "page_id", "offset")
-    return sorted(tuple(r) for r in dealt.mapInArrow(run, "key string, file string, offset long, length long").collect())
+    made = sorted(tuple(r) for r in dealt.mapInArrow(run, "key string, last string, file string, offset long, length long").collect())
+    return [(key, *place) for key, _, *place in made]
 
 
 def verified(member: bytes) -> dict:
