@@ -16,7 +16,8 @@ least document of its postings, its pivot, is compared with that: what it lacks
 one pivot P, that differ from it by r and e shingles and share d of those differences, overlap in |P| - r1 - r2 + d, so
 they link exactly if w1 + w2 - (num + den) * d <= (den - num) * |P| with w = den * r + num * e. If d is 0 both link with P or neither
 does; if not, they meet in a join of the differences, in which again only prefixes (additions, the rare ones, first) take
-part. That decides all pairs of one pivot without making them. The second pass makes pairs of documents of different
+part. That decides all pairs of one pivot without making them. Shingles are held by 64-bit hashes: two different ones of a corpus
+of n distinct shingles have one hash with a chance of about n * n / 2**65. The second pass makes pairs of documents of different
 pivots and different components only, and verifies those that share enough prefix shingles. Every pair is met in one of the two
 passes, so components are exact.
 
@@ -154,8 +155,7 @@ def prefixes(docs: DataFrame, freq: np.ndarray, k: int, num: int, den: int) -> D
 
 
 def with_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) with both sets, x and y. Sets are made for the texts that the pairs name, and no others."""
-    pairs = cut(pairs.select("a", "b"), "ngram-pairs")
+    """The pairs (a, b), a written table, with both sets, x and y. Sets are made for the texts that the pairs name, and no others."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     words = ids.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("bits")).collect()
@@ -181,9 +181,12 @@ def with_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
+    pairs = cut(pairs.select("a", "b"), "ngram-pairs")
     full = with_sets(docs, pairs, k).withColumn("both", F.size(F.array_intersect("x", "y")))
     alike = F.col("both") * den >= (F.size("x") + F.size("y") - F.col("both")) * num
-    return cut(full.where(alike).select("a", "b"), "ngram-links")
+    out = cut(full.where(alike).select("a", "b"), "ngram-links")
+    drop(pairs)
+    return out
 
 
 def around_pivots(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -193,9 +196,11 @@ def around_pivots(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int,
     documents that are decided. Among documents of one pivot are told, if every, all links with w1 + w2 > t, else those that
     components need.
     """
+    pairs = cut(pairs.select("a", "b"), "ngram-pairs")
     full = with_sets(docs, pairs, k).select("a", "b", F.size("y").alias("size"), F.array_except("y", "x").alias("lacks"), F.array_except("x", "y").alias("adds"))
     full = full.withColumns({"w": den * F.size("lacks") + num * F.size("adds"), "t": (den - num) * F.col("size")}).where("w <= 2 * t")
     told = cut(full, "ngram-pivots")
+    drop(pairs)
     direct = told.where("w <= t").select("a", "b")
     diffs = F.concat(F.transform("adds", lambda v: F.struct(v.alias("v"), F.lit(True).alias("added"))), F.transform("lacks", lambda v: F.struct(v.alias("v"), F.lit(False).alias("added"))))
     if every:
@@ -305,7 +310,9 @@ def _join(docs: DataFrame, doc_id: str, text: str, k: int, num: int, den: int, c
     placed = cut(placed.join(mixed, "token"), "ngram-placed")
     drop(postings)
     # Of a document's tokens that others have, how many stand from each one on: partners share none before their first common one.
+    met = placed
     placed = cut(placed.withColumn("rest", F.count("*").over(Window.partitionBy("id").orderBy(F.desc("at")))).drop("at"), "ngram-open")
+    drop(met)
     # Partners differ in size by the threshold at most, so they stand in one size band or in neighbouring ones, which the join asks for.
     placed = placed.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(1.0001 * den / num)).cast("int"))
     each = placed.groupBy("token", "pivot", "band").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("m").alias("m"), F.max("rest").alias("rest"), F.min("component").alias("c_lo"), F.max("component").alias("c_hi"))
