@@ -18,9 +18,11 @@ _registered: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the session names none (tests), one of our own."""
+    """The cluster's shared folder; where a local session names none (tests), one of our own."""
     found = spark.conf.get(SETTING, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
         made = tempfile.mkdtemp(prefix="trendloom-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         found = f"file://{made}"
@@ -69,6 +71,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that cut() has made tables of and that nothing refers to any more."""
+    """Let Spark remove the shuffle files of plans that cut() has made tables of and that nothing refers to any more.
+
+    Spark does that when its references are collected, for which there is no call but a hint; only disk depends on it.
+    """
     gc.collect()
     spark._jvm.System.gc()
