@@ -84,6 +84,30 @@ def test_links_are_counted_whole(spark, k, num, den, seed, again):
     assert told == sorted(set(brute(rows, k, num, den)))
 
 
+def test_words_that_defeat_power_of_two_hashes(spark):
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, two), (3, f"x {one} y z"), (4, f"x {two} y z"), (5, f"x {one} y z")]
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 3)]
+
+
+def test_sizes_at_the_edges_of_bands(spark):
+    """Partners whose sizes are as far apart as the threshold allows, of groups of several sizes."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(24, 400))]
+        for _ in range(8):
+            n = len(words) - 3
+            keep = rng.choice([n, -(-85 * n // 100), -(-85 * n // 100) - 1, -(-93 * n // 100)])
+            at = rng.randrange(n - keep + 1)
+            rows.append((len(rows), " ".join(words[at : at + keep + 3])))
+    got = ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 4, 85, 100)
+    assert sorted((r.doc_id, r.n_links) for r in got) == degrees(rows, 4, 85, 100)
+
+
 SF = "/root/testdata/sf0.001"
 
 

@@ -189,6 +189,27 @@ def test_toxicity_learns_words_and_prefixes(spark, empty):
     assert toxicity.score(empty, toxicity.fit(empty, train), ["doc_id"]).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_held_out_labels(spark):
+    """The given labels of the rows that were not learned from."""
+    d = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    held = [r for r in queries.op3_toxicity(spark, d).where("held_out").collect() if labels.get(r.doc_id) is not None]
+    toxic, clean = ([r.predicted for r in held if labels[r.doc_id] == x] for x in (1, 0))
+    assert len(toxic) > 50 and np.mean(toxic) > 0.8 and np.mean(clean) < 0.02
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 and 0 <= r.score <= 1 for r in held)
+
+
+def test_other_columns_don_t_disturb_toxicity(docs, empty):
+    names = [c for c in docs.columns if c != "text"]
+    more = docs.selectExpr("*", "'x' AS toxic", "2 AS __id", "3 AS feature")
+    model = toxicity.fit(more, docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 AS int) AS toxic", "4 AS text", "5 AS __key"))
+    plain = toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 AS int) AS toxic"))
+    assert np.array_equal(model.known, plain.known) and np.allclose(model.weights, plain.weights)
+    out = toxicity.score(more, model, [*names, "toxic", "__id"])
+    assert out.columns == [*("score_in" if c == "score" else c for c in names), "toxic", "__id", "score"] and out.count() == docs.count()
+
+
 def test_label_model_tells_good_voters_from_bad():
     rng = np.random.default_rng(0)
     truth = rng.random(3000) < 0.15
@@ -500,6 +521,58 @@ def test_licences(spark, docs, empty):
     assert licenses.scan(empty, ["doc_id"]).count() == 0
 
 
+def least_edits(needle, hay):
+    """The fewest insertions, deletions and substitutions that make a stretch of hay the needle."""
+    row = [0] * (len(hay) + 1)
+    for i, c in enumerate(needle, 1):
+        new = [i]
+        for j, d in enumerate(hay, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def mangled(rng, phrase, edits):
+    for _ in range(edits):
+        at, kind = rng.randrange(len(phrase)), rng.randrange(3)
+        phrase = phrase[:at] + (rng.choice("abcdeio ") if kind else "") + phrase[at + (kind != 1) :]
+    return phrase
+
+
+def test_licences_against_dynamic_programming(spark):
+    """Base places by words, and the fewest edits of each notice by plain dynamic programming."""
+    rng = random.Random(21)
+    filler = "the code of this file is free to use and comes with no warranty under terms you may read in mit apache gnu by license".split()
+    rows = []
+    for _ in range(500):
+        parts = [" ".join(rng.choice(filler) for _ in range(rng.randrange(0, 7))) for _ in range(2)]
+        phrase, _ = rng.choice([*licenses.NOTICES, *licenses.BASE])
+        rows.append(" ".join([parts[0], mangled(rng, phrase, rng.randrange(0, licenses.edits_for(phrase) + 2)), parts[1]]))
+    rows = [r.title() if i % 3 == 0 else r for i, r in enumerate(rows)] + ["mit license", "cc by", "gnu general public license apache license"]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), ["doc_id"]).collect()}
+    several = 0
+    for i, t in enumerate(rows):
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.translate(LOWER))
+        base = [(at, label) for phrase, label in licenses.BASE for p in [phrase.split()] for at in range(len(w)) if w[at : at + len(p)] == p]
+        places = [at for at, _ in base]
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word) == (len(w), len(base), min(places, default=None), max(places, default=None))
+        assert got[i].base_labels == ",".join(sorted({x for _, x in base}))
+        hay = " ".join(w)
+        near = [(e, label, len(p)) for p, label in licenses.NOTICES if (e := least_edits(p, hay)) <= licenses.edits_for(p)]
+        labels = {x for _, x, _ in near}
+        several += len(labels) > 1
+        told = set(filter(None, got[i].labels.split(",")))
+        assert {x for _, x in base} <= told <= labels | {x for _, x in base}
+        if len(labels) == 1:
+            assert told == labels | {x for _, x in base}
+            assert got[i].score == (1.0 if base else pytest.approx(max(1 - e / n for e, _, n in near)))
+        elif labels:
+            assert {x for e, x, _ in near if e == min(near)[0]} & told
+        else:
+            assert got[i].score == (1.0 if base else 0.0)
+    assert several > 5 and sum(bool(r.labels) for r in got.values()) > 200
+
+
 def test_notice_at_the_start_of_a_text(spark):
     rows = [(0, "a licensex undr the apche license and more"), (1, "some words before a licensex undr the apche license and more")]
     got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
@@ -610,7 +683,7 @@ def test_warc_round_trip_and_lookup(spark, tmp_path):
     archive, index = f"file://{tmp_path}/a", f"file://{tmp_path}/i"
     manifest = warc.write_archives(pages, archive)
     directory = warc.build_index(manifest, index)
-    assert directory == sorted(directory)
+    assert [d[0] for d in directory] == sorted(d[0] for d in directory)
     best = {}
     for i, _, h in rows:
         if i is not None and len((h or "").encode()) >= 1000:
@@ -630,6 +703,36 @@ def test_warc_round_trip_and_lookup(spark, tmp_path):
     assert warc.read_archives(spark, warc.build_index(none, index), index, archive).count() == 0
 
 
+def test_other_columns_don_t_disturb_archives(spark, tmp_path):
+    big = "z" * 1200
+    plain = spark.createDataFrame([(1, "http://a/", big), (2, None, big), (3, "http://a/", None), (3, "http://a/", None)], "page_id long, url string, html string")
+    more = plain.selectExpr("*", "1 AS payload", "2 AS digest", "3 AS times", "4 AS best_id", "5 AS key", "6 AS refers_id", "7 AS file")
+    told = []
+    for i, pages in enumerate((plain, more)):
+        archive, index = f"file://{tmp_path}/a{i}", f"file://{tmp_path}/i{i}"
+        directory = warc.build_index(warc.write_archives(pages, archive), index)
+        told.append(by_text(warc.read_captures(pages, directory, index, archive), "page_id", "record_type", "refers_to", "payload_bytes", "payload_digest"))
+    assert told[0] == told[1] and [r[:3] for r in told[0]] == [(1, "revisit", 2), (2, "response", None), (3, "response", None), (3, "response", None)]
+
+
+def test_the_query_bisects(spark, monkeypatch):
+    """op10 reads the archives back by way of find(), which bisects the directory and a block, and reads ranges."""
+    import inspect
+
+    assert "read_captures" in inspect.getsource(queries.op10_warc_index) and "find(" in inspect.getsource(warc.read_captures)
+    reads, keys = [], sorted(f"h)/{i:04d}" for i in range(1000))
+    blocks = [[[k, "1", "f", "0", "9"] for k in keys[i : i + 10]] for i in range(0, 1000, 10)]
+
+    class Index:
+        def block(self, name, offset, length):
+            reads.append(offset)
+            return blocks[offset]
+
+    directory = [(b[0][0], "f", i, 1) for i, b in enumerate(blocks)]
+    assert [list(warc.find(k, directory, Index())) for k in ("h)/0537", "h)/none", "a")] == [[("f", 0, 9)], [], []]
+    assert len(reads) <= 4
+
+
 @pytest.mark.parametrize("lines", [2, 3000])
 def test_addresses_with_spaces_are_found(spark, tmp_path, monkeypatch, lines):
     monkeypatch.setattr(warc, "BLOCK_LINES", lines)
