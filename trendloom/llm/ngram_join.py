@@ -49,6 +49,8 @@ MAX_MATCH = 8
 #: Cost of verifying a candidate, in posting rows.
 VERIFY = 30.0
 _CHUNK = 1 << 14
+#: Sets that a task hands on at a time.
+TAKE = 500
 #: Bits of the filter of ids whose texts a verification needs.
 FILTER_BITS = 1 << 22
 
@@ -167,8 +169,8 @@ def with_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
         for b in batches:
             at = b.column(2).to_numpy()
             hit = np.flatnonzero((filled[at >> 6] >> (at & 63)) & 1)
-            if len(hit):
-                some = b.take(pa.array(hit))
+            for i in range(0, len(hit), TAKE):  # sets are larger than their texts
+                some = b.take(pa.array(hit[i : i + TAKE]))
                 sets = [s.view(np.int64) for s in sets_of(some.column(1), k)]
                 off = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(sets)))], ["id", "shingles"])
