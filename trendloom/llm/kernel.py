@@ -64,15 +64,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 #: must not change between runs), so two given strings of at most n bytes collide with a chance of n / P, about n * 4e-19.
 P = U((1 << 61) - 1)
 BASE = 0x1A3F_5C97_E20B_D64D % ((1 << 61) - 1)
-#: Powers are kept for as many bytes; longer texts go on from block to block.
-BLOCK = 1 << 20
+#: Powers are kept for as many bytes; longer texts go on from block to block. So many bytes are worked on at a time.
+BLOCK = 1 << 19
+STEP = 1 << 15
 _VALUE = np.arange(1, 257, dtype=U)
 
 
 def reduced(x: np.ndarray) -> np.ndarray:
     """x modulo P."""
     x = (x & P) + (x >> U(61))
-    return np.where(x >= P, x - P, x)
+    np.subtract(x, P, out=x, where=x >= P)
+    return x
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -103,14 +105,26 @@ def prefix_hash(raw: np.ndarray) -> np.ndarray:
     """S with S[i] the sum, modulo P, of byte values times base powers before i; spans are hashed by span_hash."""
     high, low, _ = powers()
     s = np.zeros(len(raw) + 1, U)
-    for at in range(0, len(raw), BLOCK):
-        v = _VALUE[raw[at : at + BLOCK]]
-        n = len(v)
-        a = np.cumsum(v * high[:n])  # below 2**58
-        x = (a >> U(30)) + ((a & U((1 << 30) - 1)) << U(31))
-        x += np.cumsum(v * low[:n])  # below 2**59
+    for at in range(0, len(raw), STEP):
+        begin = at % BLOCK
+        if not begin:
+            sum_high = sum_low = U(0)
+            before, scale = s[at], np.full(1, pow(BASE, at, int(P)), U)
+        x = _VALUE[raw[at : at + STEP]]
+        n = len(x)
+        a = x * high[begin : begin + n]
+        np.cumsum(a, out=a)
+        a += sum_high  # below 2**57
+        x *= low[begin : begin + n]
+        np.cumsum(x, out=x)
+        x += sum_low  # below 2**58
+        sum_high, sum_low = a[-1], x[-1]
+        x += a >> U(30)
+        a &= U((1 << 30) - 1)
+        a <<= U(31)
+        x += a
         x = reduced(x)
-        s[at + 1 : at + n + 1] = reduced(times(x, np.full(1, pow(BASE, at, int(P)), U)) + s[at]) if at else x
+        s[at + 1 : at + n + 1] = reduced(times(x, scale) + before) if at >= BLOCK else x
     return s
 
 
@@ -134,6 +148,82 @@ def gram_hash(raw: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
+class Known:
+    """Rows of numbers by 64-bit key, in two sorted levels: new keys go to the small one, and from a quarter of the large one's
+    size on it is merged into that, so that a key is moved a few times and not with every addition."""
+
+    LEAST = 1 << 15
+
+    def __init__(self, columns: int):
+        none = np.zeros(0, U), np.zeros((0, columns), np.int64)
+        self.levels = [none, none]
+
+    def __len__(self) -> int:
+        return sum(len(k) for k, _ in self.levels)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether known, row) of each key."""
+        told = np.zeros((len(keys), self.levels[0][1].shape[1]), np.int64)
+        known = np.zeros(len(keys), bool)
+        for mine, rows in self.levels:
+            if len(mine):
+                at = np.minimum(np.searchsorted(mine, keys), len(mine) - 1)
+                hit = np.flatnonzero(mine[at] == keys)
+                known[hit] = True
+                told[hit] = rows[at[hit]]
+        return known, told
+
+    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        """New keys, none of them known."""
+        small = self._merged(self.levels[1], (keys, rows))
+        if len(small[0]) > max(self.LEAST, len(self.levels[0][0]) // 4):
+            self.levels = [self._merged(self.levels[0], small), (keys[:0], rows[:0])]
+        else:
+            self.levels[1] = small
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate([a[1], b[1]])[order]
+
+
+class Growing:
+    """Numbers that are added to at the end; the room doubles when it is full."""
+
+    def __init__(self, kind: type):
+        self.room, self.size = np.empty(1 << 12, kind), 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.size]
+
+    def add(self, more: np.ndarray) -> None:
+        end = self.size + len(more)
+        if end > len(self.room):
+            wider = np.empty(max(end, 2 * len(self.room)), self.room.dtype)
+            wider[: self.size] = self.values
+            self.room = wider
+        self.room[self.size : end] = more
+        self.size = end
+
+
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after the other."""
+    ends = np.cumsum(size)
+    out = np.ones(ends[-1] if len(ends) else 0, np.int64)
+    some = size > 0
+    begin, size, ends = begin[some], size[some], ends[some]
+    if len(begin):
+        out[0] = begin[0]
+        out[ends[:-1]] = begin[1:] - (begin[:-1] + size[:-1] - 1)
+        np.cumsum(out, out=out)
+    return out
+
+
 def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of True that don't cross rows: starts, ends, and for each row its first run's number (and the end)."""
     n = len(inside)

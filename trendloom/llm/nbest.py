@@ -24,7 +24,7 @@ import heapq
 import itertools
 import math
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import public_tokenizers
@@ -43,6 +43,8 @@ BYTE_SCORE = -14_000_000
 _NONE = -(1 << 60)
 #: Stretches that a worker keeps.
 CACHE = 2_000_000
+#: Characters from which on a stretch's scores go to arrays.
+LONG = 4096
 
 
 class Pieces:
@@ -63,6 +65,8 @@ class Pieces:
                 self.score[name] = (-round(1e6 * math.log((rank if rank < 1e8 else 1) + 2)), i)
         self.longest = max(map(len, self.score))
         self.begun = {n[:k] for n in self.score for k in range(1, len(n) + 1)}
+        #: The score of a piece, 1 of what only begins pieces.
+        self.table = {n: self.score[n][0] if n in self.score else 1 for n in self.begun}
         self.starts = np.concatenate([[0], np.cumsum([len(t) for t in text])])
         self.text = np.frombuffer(b"".join(text), np.uint8)
 
@@ -80,37 +84,48 @@ class Pieces:
             if found:
                 yield k, found[0], found[1:]
 
-    def forward(self, text: str) -> tuple[array, int, tuple[int, ...]]:
+    def forward(self, text: str) -> tuple[Sequence[int], int, tuple[int, ...]]:
         """Best score from the start to each node; the second best score to the end; the best path."""
-        n, get, begun = len(text), self.score.get, self.begun
-        best, second = array("q", [_NONE]) * (n + 1), array("q", [_NONE]) * (n + 1)
-        back = array("q", [0]) * (n + 1)
+        n, get = len(text), self.table.get
+        none = [_NONE] if n < LONG else array("q", [_NONE])  # short lists are faster, long ones take four times the memory
+        best, second, back = none * (n + 1), none * (n + 1), none * (n + 1)
         best[0] = 0
         for i in range(n):
-            b, s = best[i], second[i]
-            if get(text[i]) is None:
-                step = ((i + 1, BYTE_SCORE * len(text[i].encode())),)
+            b, s, k = best[i], second[i], i + 1
+            e = get(text[i])
+            if e is None or e > 0:
+                e = BYTE_SCORE * len(text[i].encode())
+                last = k
             else:
-                step = []
-                for k in range(i + 1, n + 1):
-                    piece = text[i:k]
-                    found = get(piece)
-                    if found is not None:
-                        step.append((k, found[0]))
-                    elif piece not in begun:
-                        break
-            for k, e in step:
-                t = b + e
-                if t > best[k]:
-                    second[k] = max(best[k], s + e)
-                    best[k], back[k] = t, i
-                elif t > second[k]:
-                    second[k] = t
+                last = n
+            while True:
+                if e <= 0:
+                    t = b + e
+                    old = best[k]
+                    if t > old:
+                        s_e = s + e
+                        second[k] = old if old > s_e else s_e
+                        best[k], back[k] = t, i
+                    elif t > second[k]:
+                        second[k] = t
+                if k == last:
+                    break
+                k += 1
+                e = get(text[i:k])
+                if e is None:
+                    break
         cuts = [n]
         while cuts[-1]:
             cuts.append(back[cuts[-1]])
         cuts.reverse()
-        return best, second[n], tuple(x for i, k in itertools.pairwise(cuts) for x in self.ids_of(text[i:k]))
+        ids: list[int] = []
+        for i, k in itertools.pairwise(cuts):
+            found = self.score.get(text[i:k])
+            if found is not None:
+                ids.append(found[1])
+            else:
+                ids.extend(self.ids_of(text[i:k]))
+        return best, second[n], tuple(ids)
 
     def ids_of(self, piece: str) -> tuple[int, ...]:
         """The id of a piece, or the byte pieces of a character outside the vocabulary."""
@@ -154,8 +169,7 @@ class Pieces:
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of a run of pieces; the mark in front of a text is its first byte."""
         size = np.diff(self.starts)[ids]
-        ends = np.cumsum(size)
-        return self.text[np.repeat(self.starts[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        return self.text[K.ranges(self.starts[ids], size)]
 
 
 class Stretches:
@@ -166,16 +180,15 @@ class Stretches:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.rows = np.zeros(0, K.U), np.zeros((0, 4), np.int64)  # score, gap, first id, ids
-        self.ids = np.zeros(0, np.int32)
+        self.known = K.Known(4)  # score, gap, first id, ids
+        self.ids = K.Growing(np.int32)
 
     def of(self, hashes: np.ndarray, text_of) -> np.ndarray:
         """Rows of the stretches; their id ranges hold until the next call."""
-        if len(self.keys) > CACHE:
+        if len(self.known) > CACHE:
             self.clear()
         each, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, each), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == each if len(self.keys) else np.zeros(len(each), bool)
+        known, rows = self.known.find(each)
         fresh = np.flatnonzero(~known)
         if len(fresh):
             made, flat, place = [], [], len(self.ids)
@@ -184,12 +197,10 @@ class Stretches:
                 made.append((best[-1], best[-1] - second if second > _NONE // 2 else -_NONE, place, len(ids)))
                 flat.extend(ids)
                 place += len(ids)
-            self.ids = np.concatenate([self.ids, np.array(flat, np.int32)])
-            keys = np.concatenate([self.keys, each[fresh]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.rows = keys[order], np.concatenate([self.rows, np.array(made, np.int64)])[order]
-            at = np.searchsorted(self.keys, each)
-        return self.rows[at][back]
+            self.ids.add(np.array(flat, np.int32))
+            rows[fresh] = made
+            self.known.add(each[fresh], rows[fresh])
+        return rows[back]
 
 
 _KEPT: dict[str, Stretches] = {}
@@ -238,7 +249,7 @@ def encode_slice(known: Stretches, raw: np.ndarray, off: np.ndarray, count: int,
     told = known.of(hashes, text_of) if len(starts) else np.zeros((0, 4), np.int64)
     score, gap, place, size = told.T
     ends_ids = np.cumsum(size)
-    flat = known.ids[np.repeat(place - (ends_ids - size), size) + np.arange(ends_ids[-1] if len(ends_ids) else 0)]
+    flat = known.ids.values[K.ranges(place, size)]
     begin = np.concatenate([[0], ends_ids])
     total = np.concatenate([[0], np.cumsum(score)])
     out = []
