@@ -40,8 +40,8 @@ CHUNK = 1 << 12
 AHEAD = 64
 #: Bytes of a part of a long row.
 PART = 1 << 20
-#: States (of the order of a kilobyte each) and pair tests that a worker keeps; beyond, they are made anew when met.
-MAX_STATES = 200_000
+#: States (of some hundred bytes each) and pair tests that a worker keeps; beyond, they are made anew when met.
+MAX_STATES = 400_000
 MAX_FITS = 500_000
 #: Stretches, and bytes of them, whose maps a worker keeps.
 MAX_WORDS = 3_000_000
@@ -137,7 +137,7 @@ class Automaton:
                 self.flush()
             if len(self.fits) > MAX_FITS:
                 self.fits.clear()
-            table, now = self.next, self.number(state)
+            table, now = self.next, 0 if state is START else self.number(state)
             for c in text[at : at + CHUNK]:
                 known = table[now].get(c)
                 now, change = known if known is not None else self.step(now, c)
@@ -145,9 +145,23 @@ class Automaton:
             state = self.states[now]
         return state, count
 
+    def emitted(self, state: tuple, char: str) -> int:
+        """The change of the token count at a character, without the state after it."""
+        if char not in self.score:
+            return len(char.encode())
+        for under, before, less in state:
+            piece = under + char
+            if piece in self.score and self.fit(before, piece):
+                return 1 - less
+        raise ValueError(f"no piece ends after {state!r} and {char!r}")
+
     def word(self, text: str) -> int:
-        """Tokens of a stretch between boundaries, from the start state."""
-        return self.run(START, text)[1] if len(text) <= CHUNK else scan(chunk_maps(self, text, CHUNK), START)[1]
+        """Tokens of a stretch between boundaries, from the start state. What follows its last character is the start state again,
+        so the state in between, which few other stretches share, isn't made."""
+        if len(text) > CHUNK:
+            return scan(chunk_maps(self, text, CHUNK), START)[1]
+        state, count = self.run(START, text[:-1])
+        return count + self.emitted(state, text[-1])
 
 
 class ChunkMap:
@@ -216,43 +230,33 @@ class WordCounts:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.rows = np.zeros(0, K.U), np.zeros((0, 3), np.int64)  # tokens, first byte, bytes
-        self.data = np.zeros(0, np.uint8)
+        self.known = K.Known(3)  # tokens, first byte, bytes
+        self.data = K.Growing(np.uint8)
 
     def of(self, hashes: np.ndarray, flat: np.ndarray, size: np.ndarray, text_of) -> np.ndarray:
         """flat: the bytes of the stretches one after the other, `size` of each; text_of: a stretch's marked text."""
-        if len(self.keys) > MAX_WORDS or len(self.data) > MAX_WORD_BYTES:
+        if len(self.known) > MAX_WORDS or len(self.data) > MAX_WORD_BYTES:
             self.clear()
         each, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, each), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == each if len(self.keys) else np.zeros(len(each), bool)
-        fresh = first[np.flatnonzero(~known)]
+        known, rows = self.known.find(each)
+        fresh = np.flatnonzero(~known)
         begin = np.cumsum(size) - size
         if len(fresh):
-            word = self.auto.word
-            n = size[fresh]
-            made = np.stack([np.fromiter((word(text_of(i)) for i in fresh.tolist()), np.int64, len(fresh)), len(self.data) + np.cumsum(n) - n, n], 1)
-            self.data = np.concatenate([self.data, flat[_ranges(begin[fresh], n)]])
-            keys = np.concatenate([self.keys, hashes[fresh]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.rows = keys[order], np.concatenate([self.rows, made])[order]
-            at = np.searchsorted(self.keys, each)
-        out, place, length = self.rows[at][back].T
+            word, at = self.auto.word, first[fresh]
+            n = size[at]
+            rows[fresh] = np.stack([np.fromiter((word(text_of(i)) for i in at.tolist()), np.int64, len(at)), len(self.data) + np.cumsum(n) - n, n], 1)
+            self.data.add(flat[K.ranges(begin[at], n)])
+            self.known.add(each[fresh], rows[fresh])
+        out, place, length = rows[back].T
         other = length != size
-        if other.any() or not np.array_equal(self.data[_ranges(place, length)], flat):  # two stretches have one hash
+        if other.any() or not np.array_equal(self.data.values[K.ranges(place, length)], flat):  # two stretches have one hash
             out = out.copy()
             for i in range(len(out)):
-                if other[i] or not np.array_equal(self.data[place[i] : place[i] + size[i]], flat[begin[i] : begin[i] + size[i]]):
+                if other[i] or not np.array_equal(self.data.values[place[i] : place[i] + size[i]], flat[begin[i] : begin[i] + size[i]]):
                     out[i] = self.auto.word(text_of(i))
         return out
 
 
-def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places of all ranges, one after the other."""
-    ends = np.cumsum(size)
-    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-
-
 _KEPT: dict[str, WordCounts] = {}
 
 
