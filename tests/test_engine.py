@@ -215,6 +215,51 @@ def test_general_solver_balances(name):
     assert f.series(a, len(COEFFS[name]))[have] == pytest.approx(np.array(COEFFS[name])[have], rel=1e-5)
 
 
+def test_closed_forms_are_known_by_any_names():
+    assert B.closed_name(Formula("b*sin(c*x) + d*cos(c*x)", "x")) == "sincos_one"
+    assert B.closed_name(Formula("b*sin(c*x) + d*cos(e*x)", "x")) is None
+    assert B.closed_name(Formula("a0 + a1*t + a2*exp(a3*t)")) == "exp"
+
+
+def test_general_solver_without_a_closed_form():
+    f = Formula("a0*exp(a1*t) + a2*t")
+    c = f.series([2.0, 0.3, 1.5], 3)
+    assert B.closed_name(f) is None and B.solve(f, c, discrete=False) == pytest.approx([2.0, 0.3, 1.5], rel=1e-6)
+    assert B.solve(f, f.series([2.0, 0.3, 1.5], 6), discrete=False, overdetermined=True) == pytest.approx([2.0, 0.3, 1.5], rel=1e-6)
+    with pytest.raises(B.BalanceError, match="no real solution"):
+        B.solve(Formula("a0**2 + a1**2*t + a2**2*t**2"), np.array([1.0, -2.0, 3.0]), discrete=False)
+
+
+def test_the_nearer_branch(spark):
+    x = np.arange(40.0)
+    s = series(spark, up=1 + x + np.exp(0.02 * x), down=30 - x + np.exp(-0.02 * x), none=-(x**2))
+    told = {r.series_id: r for r in B.nearer_branch(s, lsm.fit(s, 3)).collect()}
+    assert told["none"].a2 is None and told["none"].a0 is None and told["up"].a2 is not None
+    for k, row in told.items():
+        if row.a2 is not None:
+            y = np.array([r.y for r in s.where(F.col("series_id") == k).orderBy("x").collect()])
+            other = row.a1 + 2 * row.a2
+            rss = [float(((y - (row.a0 + p * x + np.exp(q * x))) ** 2).sum()) for p, q in ((row.a1, row.a2), (other, -row.a2))]
+            assert row.rss == pytest.approx(rss[0]) and rss[0] <= rss[1]
+
+
+@pytest.mark.parametrize("text,curve,n", [("a0*sin(a1*t) + a2*cos(a1*t)", "transcendental1", 800), ("a0 + a1*t + a2*exp(a3*t)", "exponential2", 500)])
+def test_numeric_fits_are_least(spark, text, curve, n):
+    """At a fit's parameters the slope of the sum of squares is nil, and steps away from them make it larger."""
+    s = G.add_noise(G.curve(spark, curve, n), 0, 0.05)
+    row = FT.dsb_fit(s.select("series_id", "x", "n", "y"), text).first()
+    f, y = Formula(text), np.array([r.y for r in s.orderBy("x").collect()])
+    t = np.arange(float(n))
+    v, d = f.values(t, row.params, True)
+    r = v - y
+    assert np.abs(d.T @ r / np.linalg.norm(d, axis=0)).max() < 1e-4 * np.linalg.norm(r)
+    for i in range(len(row.params)):
+        for step in (0.999, 1.001):
+            moved = list(row.params)
+            moved[i] *= step
+            assert ((f.values(t, moved) - y) ** 2).sum() > (r**2).sum()
+
+
 def test_unsolvable_models_fail_clearly():
     with pytest.raises(B.BalanceError):
         B.solve(Formula("a0 + a1*t + a2*sin(a3*t)"), np.array([1.0, 2.0, 3.0, 4.0]))
@@ -241,13 +286,13 @@ def test_fit_errors(spark):
     with pytest.raises(ValueError):
         FT.dsb_fit(s, "a0 + a1*t + a2*exp(a3*t)", rank=3)
     row = FT.dsb_fit(s, "a0 + a1*t + a2*sin(a3*t)", numeric=False).first()
-    assert row.params is None and "underdetermined" in row.error
+    assert row.params is None and "fewer equations" in row.error
 
 
 def test_modes_and_facade(spark):
     s, e = G.curve(spark, "lab_periodic", 30), B.CLOSED["sincos_one"][0]
     m = FT.Model(s, e)
-    with pytest.raises(RuntimeError, match="Unable to call unfitted model."):
+    with pytest.raises(RuntimeError, match="has not been fitted"):
         m.metrics()
     for mode in (FT.FittingModes.AUTO, FT.FittingModes.DSBI):
         got = m.nonline_fit(FT.FittingOptions(mode, numeric=True)).metrics().first()
@@ -255,7 +300,13 @@ def test_modes_and_facade(spark):
     short = FT.Model(s, e).nonline_fit(FT.FittingOptions(FT.FittingModes.DSB)).coeffs.first()
     assert short.params is None and short.error  # the discrete balance of half a period is complex
     assert m.is_fitted and m.collapse(5, 3).count() == 3 and m(7).first().x == 7
-    assert m.as_lite().first().model.expr == e
+    assert m.as_lite().first().model.expr == e and str(m) == f"{e} in t"
+    lite = FT.Model(s, e).nonline_fit(FT.FittingOptions(full_model=False))
+    assert lite.columns == ["series_id", "model"] and lite.first().model.expr == e
+    work, told = m.as_lambda("lab_periodic"), m.told().first().formula
+    assert work([7.0])[0] == pytest.approx(m(7).first().y_fit) == pytest.approx(Formula(told).values([7.0], [])[0])
+    with pytest.raises(RuntimeError):
+        m.as_lambda("no such series")
     with pytest.raises(RuntimeError):
         m.apply_trained([1.0])
     assert values(FT.Model(s, "a0 + a1*t").apply_trained([1, 2]).collapse(0, 3), "y_fit") == [1, 3, 5]
@@ -311,6 +362,38 @@ def test_random_laws(spark, law, a, b, mean, var):
     assert p[0] == 1 and p[1] == 49
 
 
+def test_hashed_numbers_are_what_other_engines_make(spark):
+    import hashlib
+
+    u = lambda *k: (int(hashlib.md5("/".join(map(str, k)).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    d = spark.range(3).select(G.uniform(5, F.lit("s"), "id").alias("u"), G.normal(5, F.lit("s"), "id").alias("z")).collect()
+    assert [r.u for r in d] == [u(5, "s", i) for i in range(3)]
+    assert [r.z for r in d] == pytest.approx([math.sqrt(-2 * math.log(u(10, "s", i))) * math.cos(2 * math.pi * u(11, "s", i)) for i in range(3)])
+
+
+def test_a_function_as_the_data_model(spark):
+    s = G.from_callable(spark, "f", lambda t: 2 * t + 1, 10)
+    assert values(s, "y") == [2.0 * i + 1 for i in range(10)] and s.first().n == 10
+
+
+def test_sweeps_cover_the_reference_s_grids(spark):
+    from trendloom.plans import catalogue
+
+    run = lambda name: {r.series_id: r for r in catalogue.QUERIES[name](spark, "").collect()}
+    grids = {
+        "sweep_ratio_exponential": np.arange(0.5, 2.0, 0.25), "sweep_size_exponential": np.arange(1000, 10000, 500), "sweep_ratio_wave": np.arange(0.5, 5.0, 0.5),
+        "sweep_size_wave": np.arange(400, 3000, 100), "sweep_size_short_wave": np.arange(20, 200, 10), "sweep_growth": np.arange(0.01, 0.12, 0.01),
+    }
+    for name, grid in grids.items():
+        got = run(name)
+        assert sorted(float(k) for k in got) == pytest.approx(sorted(grid.tolist()))
+        assert all((r.error is None) == (r.train_rse is not None) for r in got.values())
+        assert any(r.error is None for r in got.values())
+    assert set(run("sweep_complexity")) == {f"poly{k}" for k in range(2, 10)}
+    waves = run("sweep_ratio_wave")
+    assert all(r.train_r_sq > 0.99 for r in waves.values())
+
+
 def test_growing_prefixes_cover_the_reference_s_grid(spark):
     from trendloom.plans import catalogue
 
@@ -333,10 +416,12 @@ def test_sweeps(spark):
     bad = X.mass_test(spark, "a0 + a1*t + a2*sin(a3*t)", "exponential2", [100], [4]).first()
     assert bad.error and bad.r_sq is None
     assert all(r.r_sq > 0.999 for r in X.polynomial_mass_test(spark, "exponential1", [50], range(3, 5)).collect())
-    p = {r.split: r for r in X.perform_test(G.curve(spark, "transcendental1"), B.CLOSED["sincos_one"][0], 800, numeric=True).collect()}
-    assert p["train"].r_sq > 0.9 and p["test"].rse < 1
+    p = X.perform_test(G.curve(spark, "transcendental1"), B.CLOSED["sincos_one"][0], 800, numeric=True).first()
+    assert p.train_r_sq > 0.9 and p.test_rse < 1 and p.error is None
     grid = X.sensitivity(spark, B.CLOSED["sincos_one"][0], "transcendental1", 1000, [800], [20.0]).collect()
-    assert {(r.size, r.split) for r in grid} == {(800, "train"), (800, "test")} and all(r.rse is not None for r in grid)
+    assert [(r.size, r.noise_coeff) for r in grid] == [(800, 20.0)] and grid[0].train_rse < 0.1
+    poor = X.perform(X.cells(spark, "1 + t**2", [{"label": "up", "size": 30}, {"label": "short", "size": 2}]), B.CLOSED["sincos_one"][0]).collect()
+    assert {r.series_id for r in poor} == {"up", "short"} and all(r.error and r.train_rse is None for r in poor)
     far = {r.sigma: r["mean"] for r in X.deviation_by_noise(G.curve(spark, "exponential1", 200), 3, [0.0, 1.0]).collect()}
     assert far[0.0] < 1e-6 < far[1.0]
     mc = X.monte_carlo(G.curve(spark, "exponential1", 400), 3, 20, 5.0).first()

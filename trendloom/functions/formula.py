@@ -50,6 +50,17 @@ class Formula:
             for x in tree[1:]:
                 self._names(x, out)
 
+    def shape(self) -> tuple:
+        """The formula's tree with the variable and the parameters (in the order of their names) by number."""
+        number = {p: i for i, p in enumerate(self.params)}
+
+        def go(x: tuple) -> tuple:
+            if x[0] == "name":
+                return ("var",) if x[1] == self.var else ("param", number[x[1]])
+            return x if x[0] == "num" else (x[0], *map(go, x[1:]))
+
+        return go(self.tree)
+
     def column(self, t: Column, params: dict[str, Column | float]) -> Column:
         """The formula as a Spark expression."""
 
@@ -186,6 +197,21 @@ class Formula:
         with np.errstate(all="ignore"):
             return go(self.tree)
 
+    def filled(self, params: np.ndarray | list[float]) -> str:
+        """The formula's text with numbers for its parameters."""
+        number = dict(zip(self.params, params))
+
+        def go(x: tuple) -> str:
+            if x[0] == "num":
+                return repr(x[1])
+            if x[0] == "name":
+                return self.var if x[1] == self.var else repr(float(number[x[1]]))
+            if x[0] in FUNCTIONS:
+                return f"{x[0]}({go(x[1])})"
+            return f"({go(x[1])} {x[0]} {go(x[2])})"
+
+        return go(self.tree)
+
     def orders(self, order: int) -> list[int]:
         """Powers of var that the series has for parameters in general position."""
         found = np.zeros(order, bool)

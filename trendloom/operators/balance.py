@@ -7,13 +7,20 @@ Spark columns; complex solutions are null. Any other formula is solved by damped
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formula import Formula
 
 
+#: Starts without a real gain after which a solver that is far from any solution gives up.
+PATIENCE = 20
+
+
 class BalanceError(RuntimeError):
     pass
 
@@ -30,17 +37,26 @@ CLOSED = {
 }
 
 
-def _root(x: Column) -> Column:
+def root_column(x: Column) -> Column:
     return F.when(x > 0, F.sqrt(x))
 
 
-def closed_form(name: str, c: list[Column], discrete: bool = False) -> dict[str, Column]:
-    """Parameters of a closed form from ascending coefficients. Frequencies are positive (their sign doesn't change the curve);
-    exp_linear takes the positive branch under a2 and the other one under a2_other (with a1_other)."""
+def _root_of(x: float) -> float:
+    return math.sqrt(x) if x > 0 else math.nan
+
+
+def _quotient(a: float, b: float) -> float:
+    return a / b if b else math.nan
+
+
+def closed_form(name: str, c: list, discrete: bool = False) -> dict:
+    """Parameters of a closed form from ascending coefficients, as columns or (of floats) as floats, NaN where there is no real
+    one. Frequencies are positive (their sign doesn't change the curve); exp_linear takes the positive branch under a2 and the
+    other one under a2_other (with a1_other); nearer_branch() chooses."""
     text, p = CLOSED[name]
     if discrete:
-        c = [F.lit(float(k)) * x for k, x in zip(p, c)]
-    d = F.try_divide
+        c = [float(k) * x for k, x in zip(p, c)]
+    d, _root = (F.try_divide, root_column) if isinstance(c[0], Column) else (_quotient, _root_of)
     if name == "exp":
         a3 = d(3 * c[3], c[2])
         a2 = d(2 * c[2], a3 * a3)
@@ -67,6 +83,29 @@ def closed_form(name: str, c: list[Column], discrete: bool = False) -> dict[str,
     raise KeyError(name)
 
 
+def nearer_branch(series: DataFrame, fits: DataFrame, discrete: bool = False) -> DataFrame:
+    """series_id, a0, a1, a2, rss of a0 + a1*t + exp(a2*t): of its two branches the one nearer to the series (the positive one if
+    both are equally near); nulls where there is no real one. fits: series_id, coeffs."""
+    a = closed_form("exp_linear", [F.col("coeffs")[k] for k in range(3)], discrete)
+    both = fits.select("series_id", *[v.alias(k) for k, v in a.items()])
+    x = F.col("x").cast("double")
+    rss = lambda p, q: F.sum(F.pow(F.col("y") - (F.col("a0") + F.col(p) * x + F.exp(F.col(q) * x)), 2))
+    told = series.select("series_id", "x", "y").join(both, "series_id").groupBy("series_id", *a).agg(rss("a1", "a2").alias("rss"), rss("a1_other", "a2_other").alias("rss_other"))
+    other = F.col("rss_other") < F.col("rss")
+    pick = lambda c: F.when(other, F.col(c + "_other")).otherwise(F.col(c)).alias(c)
+    return told.select("series_id", F.when(F.col("a2").isNotNull(), F.col("a0")).alias("a0"), *map(pick, ("a1", "a2", "rss")))
+
+
+@lru_cache(1)
+def _shapes() -> dict[tuple, str]:
+    return {Formula(text).shape(): name for name, (text, _) in CLOSED.items()}
+
+
+def closed_name(formula: Formula) -> str | None:
+    """The closed form that a formula is, whatever its names."""
+    return _shapes().get(formula.shape())
+
+
 def cosine_sine(c: list[Column]) -> dict[str, Column]:
     """a0*cos(w*t) + b0*sin(w*t) from a quadratic: w = sqrt(|c2 / c0|)."""
     w = F.sqrt(F.abs(F.try_divide(c[2], c[0])))
@@ -132,12 +171,19 @@ def solve(formula: Formula, coeffs: np.ndarray, discrete: bool = True, overdeter
     if rank < m:
         raise ValueError("rank is less than the number of parameters")
     if len(have) < m:
-        raise BalanceError("Cannot solve underdetermined system.")
+        raise BalanceError("the balance has fewer equations than parameters")
     if discrete:
         target = target * weights(formula, rank)
     if overdetermined and len(have) > m:  # from the first orders' solution, least squares of all orders as they are
         start = solve(formula, np.array(coeffs[: have[m - 1] + 1], float), discrete)
         return least_squares(lambda a: (formula.series(a, rank) - target)[have], start)[0]
+    name = closed_name(formula)
+    if name is not None:
+        known = closed_form(name, [float(x) for x in coeffs[: have[m - 1] + 1]], discrete)
+        found = np.array([known[p] for p in Formula(CLOSED[name][0]).params])
+        if not np.isfinite(found).all():
+            raise BalanceError("the balance has no real solution")
+        return found
     use = have[:m]
     scale = np.maximum(np.abs(target[use]), 1e-12)
 
@@ -149,17 +195,19 @@ def solve(formula: Formula, coeffs: np.ndarray, discrete: bool = True, overdeter
     ratio = np.abs(target[1:] / np.where(target[:-1] == 0, np.nan, target[:-1]))
     pace = float(np.nanmedian(ratio)) if np.isfinite(ratio).any() else 1.0
     starts = [np.ones(m), np.full(m, 0.1), np.full(m, pace or 1.0)] + [rng.normal(size=m) * 10.0 ** rng.uniform(-3, 1, m) for _ in range(60)]
+    idle = 0
     for s in starts:
         a, cost = least_squares(f, s, 120)
+        idle = 0 if cost < 0.5 * best else idle + 1
         if cost < best:
             j = _jacobian(f, a, f(a))
             size = np.linalg.norm(j, axis=0)
             if np.all(size > 0) and np.linalg.matrix_rank(j / size, 1e-9) == m:
                 best, found = cost, a
-        if best < tolerance**2:
+        if best < tolerance**2 or (idle >= PATIENCE and best > 1e-3):  # a system without a real solution
             break
     if found is None or best > 1e-8:
-        raise BalanceError("No nonlinear solutions found for balance.")
+        raise BalanceError("the balance has no real solution")
     return found
 
 

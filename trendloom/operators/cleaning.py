@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -62,19 +64,26 @@ def _fold(series: DataFrame, extra: list[str], fold) -> DataFrame:
     return series.select("series_id", "x", "y", *extra).groupBy("series_id").applyInPandas(run, "series_id string, x long, y double, y_clean double")
 
 
+def _deviation(w: list[float]) -> float:
+    """Population deviation of a few numbers; on five, many times faster than numpy, and as exact, unlike running sums."""
+    mean = sum(w) / len(w)
+    return math.sqrt(sum((v - mean) * (v - mean) for v in w) / len(w))
+
+
 def detect_medium(series: DataFrame, window: int = 5, q: float = 1.6) -> DataFrame:
     """Where the deviation of the last `window` cleaned samples exceeds q times the first window's, the last becomes their median."""
 
     def fold(y: np.ndarray, _: pd.DataFrame) -> np.ndarray:
-        s = y.copy()
+        s = y.tolist()
         if len(s) < window:
-            return s
-        ref = q * float(np.std(s[:window]))
+            return y
+        ref = q * _deviation(s[:window])
         for last in range(window - 1, len(s)):
             w = s[last - window + 1 : last + 1]
-            if np.std(w) > ref:
-                s[last] = np.median(w)
-        return s
+            if _deviation(w) > ref:
+                w.sort()
+                s[last] = (w[window // 2] + w[(window - 1) // 2]) / 2
+        return np.array(s)
 
     return _fold(series, [], fold)
 
@@ -85,12 +94,12 @@ def detect_mnk(series: DataFrame, window: int = 5, q: float = 7.0) -> DataFrame:
     trend = lsm.fitted(series, 3)
 
     def fold(y: np.ndarray, pdf: pd.DataFrame) -> np.ndarray:
-        s, fit = y.copy(), pdf.y_fit.to_numpy(float)
-        limit = np.sqrt(len(s)) / (q * np.sqrt(window))
+        s, fit = y.tolist(), pdf.y_fit.to_numpy(float)
+        limit = math.sqrt(len(s)) / (q * math.sqrt(window))
         for last in range(window - 1, len(s)):
-            if np.std(s[last - window + 1 : last + 1]) > limit:
-                s[last] = fit[last]
-        return s
+            if _deviation(s[last - window + 1 : last + 1]) > limit:
+                s[last] = float(fit[last])
+        return np.array(s)
 
     return _fold(trend, ["y_fit"], fold)
 

@@ -59,38 +59,73 @@ def raised_rank(y: np.ndarray, formula: Formula, rank: int, reach: int = 12, eps
     return rank
 
 
-def _fit(series: DataFrame, text: str, var: str, rank: int, numeric: bool, discrete: bool, maxfev: int, raise_rank: bool = False, **more) -> DataFrame:
+def _solved(pdf: pd.DataFrame, formula: Formula, rank: int, coeffs: list | None, numeric: bool, discrete: bool, maxfev: int, raise_rank: bool, more: dict) -> tuple:
+    """(params, coeffs, error) of one series, sorted by x."""
+    m = len(formula.params)
+    try:
+        if coeffs is None:
+            raise B.BalanceError("too few samples")
+        y = pdf.y.to_numpy(float) if numeric or raise_rank else np.zeros(0)
+        options = dict(more)
+        if raise_rank and (r := raised_rank(y, formula, rank)) > rank:
+            h = (len(y) - 1) / 2
+            b = np.polynomial.polynomial.polyfit((np.arange(len(y)) - h) / h, y, r - 1)
+            coeffs = np.polynomial.Polynomial(b)(np.polynomial.Polynomial([-1, 1 / h])).coef.tolist()
+            options["overdetermined"] = len(coeffs) > m
+        a = solve_series(y, formula, np.array(coeffs, float), numeric, discrete, maxfev, **options)
+        return a.tolist(), list(coeffs), None
+    except (B.BalanceError, ValueError, np.linalg.LinAlgError) as e:
+        return None, None if coeffs is None else list(coeffs), str(e)
+
+
+def _checked(text: str, var: str, rank: int) -> tuple[Formula, int]:
     formula = Formula(text, var)
     m = len(formula.params)
     rank = rank or m
     if not m <= rank <= lsm.MAX_RANK:
-        raise ValueError(f"Number of coeffs must be within [{m} - {lsm.MAX_RANK}] range.")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x", kind="stable")
-        c, error, params = pdf.coeffs.iloc[0], None, None
-        try:
-            if c is None:
-                raise B.BalanceError("too few samples")
-            y = pdf.y.to_numpy(float) if numeric or raise_rank else np.zeros(0)
-            options = dict(more)
-            if raise_rank and (r := raised_rank(y, formula, rank)) > rank:
-                h = (len(y) - 1) / 2
-                b = np.polynomial.polynomial.polyfit((np.arange(len(y)) - h) / h, y, r - 1)
-                c = np.polynomial.Polynomial(b)(np.polynomial.Polynomial([-1, 1 / h])).coef.tolist()
-                options["overdetermined"] = len(c) > m
-            a = solve_series(y, formula, np.array(c, float), numeric, discrete, maxfev, **options)
-            params = a.tolist()
-        except (B.BalanceError, ValueError, np.linalg.LinAlgError) as e:
-            error = str(e)
-        return pd.DataFrame({"series_id": [pdf.series_id.iloc[0]], "n": [pdf.n.iloc[0]], "params": [params], "coeffs": [None if c is None else list(c)], "error": [error]})
-
-    fits = lsm.fit(series, rank)
-    if numeric or raise_rank:  # the solver needs the samples of its series
-        rows = series.select("series_id", "x", "y").join(fits, "series_id")
-    else:  # coefficients are enough
-        rows = fits.withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0.0)})
-    return rows.groupBy("series_id").applyInPandas(run, PARAMS_SCHEMA)
+        raise ValueError(f"rank must be {m} (the number of parameters) to {lsm.MAX_RANK}")
+    return formula, rank
+
+
+def _fit(series: DataFrame, text: str, var: str, rank: int, numeric: bool, discrete: bool, maxfev: int, raise_rank: bool = False, **more) -> DataFrame:
+    formula, rank = _checked(text, var, rank)
+
+    def run(samples: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
+        if fits.empty:
+            return pd.DataFrame(columns=["series_id", "n", "params", "coeffs", "error"])
+        params, coeffs, error = _solved(samples.sort_values("x", kind="stable"), formula, rank, fits.coeffs.iloc[0], numeric, discrete, maxfev, raise_rank, more)
+        return pd.DataFrame({"series_id": [fits.series_id.iloc[0]], "n": [fits.n.iloc[0]], "params": [params], "coeffs": [coeffs], "error": [error]})
+
+    return _with_samples(series if numeric or raise_rank else None, lsm.fit(series, rank), run, PARAMS_SCHEMA)
+
+
+def _with_samples(series: DataFrame | None, fits: DataFrame, run, schema: str) -> DataFrame:
+    """run(samples, fits) of each series; without a series (where coefficients are enough) no sample moves."""
+    if series is None:
+        none = pd.DataFrame({"x": [], "y": []})
+        return fits.groupBy("series_id").applyInPandas(lambda pdf: run(none, pdf), schema)
+    fits = fits.select(*[F.col(c).alias(c) for c in fits.columns])  # made from the series, so its columns need names of their own
+    return series.select("series_id", "x", "y").groupBy("series_id").cogroup(fits.groupBy("series_id")).applyInPandas(run, schema)
+
+
+def fit_each(series: DataFrame, formulas: dict[int, tuple[str, int]], main_var: str = "t", numeric: bool = True, discretes: bool = True, maxfev: int = 100_000) -> DataFrame:
+    """dsb_fit of several formulas (by a label: text and rank) side by side: label and the columns of dsb_fit.
+
+    The power sums of all ranks come from one pass, and a series meets its samples once.
+    """
+    known = {label: _checked(text, main_var, rank) for label, (text, rank) in formulas.items()}
+
+    def run(samples: pd.DataFrame, fits: pd.DataFrame) -> pd.DataFrame:
+        samples = samples.sort_values("x", kind="stable")
+        by_rank = dict(zip(fits["rank"], fits.coeffs))
+        rows = []
+        for label, (formula, rank) in known.items() if len(fits) else ():
+            params, coeffs, error = _solved(samples, formula, rank, by_rank[rank], numeric, discretes, maxfev, False, {})
+            rows.append((fits.series_id.iloc[0], fits.n.iloc[0], params, coeffs, error, label))
+        return pd.DataFrame(rows, columns=["series_id", "n", "params", "coeffs", "error", "label"])
+
+    fits = lsm.fit_ranks(series, sorted({rank for _, rank in known.values()}))
+    return _with_samples(series if numeric else None, fits, run, PARAMS_SCHEMA + ", label int")
 
 
 def dsb_fit(series: DataFrame, expression: str, main_var: str = "t", rank: int = 0, numeric: bool = True, discretes: bool = True, maxfev: int = 100_000) -> DataFrame:
@@ -122,10 +157,11 @@ def curve(fits: DataFrame, expression: str, main_var: str = "t", length: int = 0
     return lsm.extrapolate(fits.where("params IS NOT NULL"), length, start, y)
 
 
-def with_fit(series: DataFrame, fits: DataFrame, expression: str, main_var: str = "t") -> DataFrame:
+def with_fit(series: DataFrame, fits: DataFrame, expression: str, main_var: str = "t", keep: list[str] | None = None) -> DataFrame:
+    """The series with the fitted curve as y_fit, and the columns of fits in `keep` (of which a series may have several)."""
     formula = Formula(expression, main_var)
     y = formula.column(F.col("x").cast("double"), {p: F.col("params")[i] for i, p in enumerate(formula.params)})
-    return series.join(fits.select("series_id", "params"), "series_id").withColumn("y_fit", y).drop("params")
+    return series.join(fits.select("series_id", "params", *(keep or [])), "series_id").withColumn("y_fit", y).drop("params")
 
 
 class Model:
@@ -141,7 +177,7 @@ class Model:
 
     def _need(self) -> DataFrame:
         if self._fits is None:
-            raise RuntimeError("Unable to call unfitted model.")
+            raise RuntimeError("the model has not been fitted")
         return self._fits
 
     def poly_fit(self, rank: int, update: bool = False) -> DataFrame:
@@ -150,14 +186,15 @@ class Model:
             self._fits, self.expr = fits.withColumn("params", F.col("coeffs")), " + ".join(["c0"] + [f"c{k}*{self.var}**{k}" for k in range(1, rank)])
         return fits
 
-    def nonline_fit(self, options: FittingOptions = FittingOptions()) -> Model:
+    def nonline_fit(self, options: FittingOptions = FittingOptions()) -> Model | DataFrame:
+        """Fit, and return the model, or (without full_model) only its formula and parameters, as as_lite() tells them."""
         if self.expr is None:
             raise RuntimeError("no formula given")
         if options.mode is FittingModes.DSBI:
             self._fits = dsbi_fit(self.series, self.expr, self.var, numeric=options.numeric)
         else:
             self._fits = dsb_fit(self.series, self.expr, self.var, numeric=options.numeric, discretes=options.mode is FittingModes.DSB)
-        return self
+        return self if options.full_model else self.as_lite()
 
     @property
     def coeffs(self) -> DataFrame:
@@ -186,6 +223,27 @@ class Model:
         names = sorted(Formula(self.expr, self.var).params)
         return self._need().select("series_id", F.struct(F.lit(self.expr).alias("expr"), F.lit(self.var).alias("var"), F.map_from_arrays(F.array(*map(F.lit, names)), F.col("params")).alias("params")).alias("model"))
 
+    def told(self) -> DataFrame:
+        """series_id and the formula with its parameters' numbers, as text (null where there was no fit)."""
+        formula = Formula(self.expr, self.var)
+
+        def run(batches):
+            for b in batches:
+                yield pd.DataFrame({"series_id": b.series_id, "formula": [None if p is None else formula.filled(p) for p in b.params]})
+
+        return self._need().select("series_id", "params").mapInPandas(run, "series_id string, formula string")
+
+    def as_lambda(self, series_id: str):
+        """The fitted curve of one series as a function of an array of places."""
+        row = self._need().where(F.col("series_id") == series_id).select("params").first()
+        if row is None or row.params is None:
+            raise RuntimeError("the model has not been fitted")
+        formula = Formula(self.expr, self.var)
+        return lambda t: formula.values(np.atleast_1d(t), row.params)
+
+    def __str__(self) -> str:
+        return f"{self.expr} in {self.var}" if self.expr else "no formula"
+
     def metrics(self) -> DataFrame:
         return self.data_fit().groupBy("series_id").agg(*M.model_metrics("y", "y_fit"))
 

@@ -105,7 +105,7 @@ def fitted(series: DataFrame, rank: int) -> DataFrame:
 def extrapolate(fits: DataFrame, length: Column | int | None = None, start: int = 0, curve: Column | None = None) -> DataFrame:
     """series_id, x, y_fit at `length` (default n) places from start on, of fits with coeffs (or another curve in x)."""
     if isinstance(length, int) and length < 0:
-        raise ValueError("Bounds specified are invalid.")
+        raise ValueError("a length must not be negative")
     size = F.col("n") if length is None or (isinstance(length, int) and length == 0) else (F.lit(length) if isinstance(length, int) else length)
     wide = fits.where(size > 0).withColumn("x", F.explode(F.sequence(F.lit(start).cast("long"), (F.lit(start) + size - 1).cast("long"))))
     y = evaluate("coeffs", F.col("x").cast("double")) if curve is None else curve

@@ -5,7 +5,10 @@ Series: EV events by type, OD orders by day, LI lineitem by day, PQ quantities b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
@@ -18,6 +21,8 @@ from ..operators import lsm
 from ..sources import generators as G
 from ..sources import html as H
 from ..sources import series as S
+from ..streaming import filters as SF
+from ..streaming.run import drained
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +64,62 @@ def fitted_sql(src: str) -> str:
     return f"{sums(src)}, f AS (SELECT v.series_id, v.x, v.n, v.y, {QUAD} AS g, {LINE} AS g1 FROM {src} v JOIN q USING (series_id))"
 
 
+def orthogonal(src: str, rank: int, extra: str = "") -> str:
+    """Least squares of up to `rank` coefficients by the recurrence of discrete orthogonal polynomials, another way than normal equations.
+
+    CTEs u{rank - 1} (the rows with fitted values g1, g2, ... of each rank, and the columns of `extra`) and o (series_id, n and the
+    coefficients c0, c1, ... of the last rank in powers of x).
+    """
+    more = "".join(f", {c}" for c in extra.split())
+    out = [f"u0 AS (SELECT series_id, x, n, y{more}, ((x - (n - 1) / 2.0) / ((n - 1) / 2.0)) AS z, 0.0::DOUBLE AS b, 1.0::DOUBLE AS p FROM {src})"]
+    for k in range(rank):
+        out.append(f"v{k} AS (SELECT series_id, any_value(n) AS n, sum(p * p) AS s{k}, sum(z * p * p) / sum(p * p) AS a{k}, sum(y * p) / sum(p * p) AS d{k} FROM u{k} GROUP BY series_id)")
+        told = "".join(f", g{j}" for j in range(1, k + 1))
+        last = f"g{k} + " if k else ""
+        back = f" - CASE WHEN e.s{k - 1} > 0 THEN v.s{k} / e.s{k - 1} ELSE 0 END * u.b" if k else ""
+        before = f" JOIN v{k - 1} e ON e.series_id = u.series_id" if k else ""
+        out.append(f"u{k + 1} AS (SELECT u.series_id, u.x, u.n, u.y{''.join(f', u.{c}' for c in extra.split())}, u.z{told}, {last}v.d{k} * u.p AS g{k + 1}, u.p AS b, (u.z - v.a{k}) * u.p{back} AS p FROM u{k} u JOIN v{k} v ON v.series_id = u.series_id{before})")
+    q: list[list[str]] = [["1"]]  # q[k]: coefficients of the k-th polynomial in powers of z
+    cols = []
+    for k in range(rank):
+        for j, c in enumerate(q[k]):
+            cols.append(f"q{k}_{j} AS ({c})")
+        up = ["0", *[f"q{k}_{j}" for j in range(k + 1)]]
+        new = [f"{up[j]}" + (f" - a{k} * q{k}_{j}" if j <= k else "") + (f" - s{k} / s{k - 1} * q{k - 1}_{j}" if k and j <= k - 1 else "") for j in range(k + 2)]
+        q.append(new)
+    stage = f"(SELECT * FROM v0 {' '.join(f'JOIN (SELECT series_id, s{k}, a{k}, d{k} FROM v{k}) USING (series_id)' for k in range(1, rank))})"
+    for c in cols:
+        name, expr = c.split(" AS ", 1)
+        stage = f"(SELECT *, {expr} AS {name} FROM {stage})"
+    for j in range(rank):
+        stage = f"(SELECT *, {' + '.join(f'd{k} * q{k}_{j}' for k in range(j, rank))} AS w{j} FROM {stage})"
+    # z = x / h - 1
+    cs = [" + ".join(f"{math.comb(j, i) * (-1) ** (j - i)} * w{j}" for j in range(i, rank)) for i in range(rank)]
+    out.append(f"o AS (SELECT series_id, n, {', '.join(f'({c}) / pow((n - 1) / 2.0, {i}) AS c{i}' for i, c in enumerate(cs))} FROM {stage})")
+    return ", ".join(out)
+
+
+def uniform_sql(seed: int, *keys: str) -> str:
+    return f"((('0x' || substr(md5(concat_ws('/', '{seed}', {', '.join(f'({k})::VARCHAR' for k in keys)})), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(1 << 52)!r})"
+
+
+def normal_sql(seed: int, *keys: str) -> str:
+    return f"(sqrt(-2 * ln({uniform_sql(2 * seed, *keys)})) * cos({2 * math.pi!r} * {uniform_sql(2 * seed + 1, *keys)}))"
+
+
+def curve_sql(name: str, n: int | None = None, cte: str = "cu") -> str:
+    size = G.CURVES[name][0] if n is None else n
+    return f"{cte} AS (SELECT '{name}' AS series_id, i AS x, {size}::BIGINT AS n, {_SQL_CURVES[name]} AS y FROM (SELECT i, i::DOUBLE AS t FROM range(0, {size}) r(i)))"
+
+
+_SQL_CURVES = {
+    "exponential1": "0.0000005 * t * t", "exponential2": "1.2 * t + 0.1 * exp(0.011 * t)", "exponential2_shifted": "30 + 0.01 * t + 0.1 * exp(0.011 * t)",
+    "transcendental1": "0.2 * sin(0.005 * t) + 2.12 * cos(0.005 * t)", "transcendental2": "21.5 * sin(0.1 * t) - 12.3 * cos(0.1 * t)",
+    "transcendental3": "-7.22 * cos(0.015 * t) - 0.54 * sin(0.015 * t) + 1.9 * cos(0.015 * t)", "combined1": "30 + 0.05 * t + 14 * sin(0.002 * t) + 17.5 * cos(0.01 * t)",
+    "lab_periodic": "7.8 * cos(0.05 * t) + 9.5 * sin(0.05 * t)", "notebook_quadratic": "20 + 0.5 * t + 0.05 * t * t", "notebook_sine": "2.2 * sin(0.01 * t)",
+}
+
+
 def rounded(digits: int, **cols: Column) -> list[Column]:
     return [F.round(c, digits).alias(k) for k, c in cols.items()]
 
@@ -97,10 +158,10 @@ def lsm_extrapolate(spark: SparkSession, d: str) -> DataFrame:
     return lsm.extrapolate(fits, F.col("n") + F.ceil(F.col("n") * 0.5)).select("series_id", "x", F.round("y_fit", 3).alias("y_fit"))
 
 
-@query()
+@query(f"WITH {EV}, {orthogonal('ev', 7)} SELECT series_id, x, round(g7, 3) AS y_fit FROM u7")
 def lsm_high_degree(spark: SparkSession, d: str) -> DataFrame:
     """Degree 6: values, since coefficients of high degrees have no common number of digits."""
-    return lsm.fitted(S.events(spark, d), 7).select("series_id", "x", F.round("y_fit", 4).alias("y_fit"))
+    return lsm.fitted(S.events(spark, d), 7).select("series_id", "x", F.round("y_fit", 3).alias("y_fit"))
 
 
 @query(f"WITH {EV}, {fitted_sql('ev')} SELECT series_id, round(median(y - g), 6) AS median, round(var_pop(y - g), 5) AS variance, round(stddev_pop(y - g), 6) AS deviation FROM f GROUP BY series_id")
@@ -361,14 +422,6 @@ def dsb_exp_fit_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- generators
-_SQL_CURVES = {
-    "exponential1": "0.0000005 * t * t", "exponential2": "1.2 * t + 0.1 * exp(0.011 * t)", "exponential2_shifted": "30 + 0.01 * t + 0.1 * exp(0.011 * t)",
-    "transcendental1": "0.2 * sin(0.005 * t) + 2.12 * cos(0.005 * t)", "transcendental2": "21.5 * sin(0.1 * t) - 12.3 * cos(0.1 * t)",
-    "transcendental3": "-7.22 * cos(0.015 * t) - 0.54 * sin(0.015 * t) + 1.9 * cos(0.015 * t)", "combined1": "30 + 0.05 * t + 14 * sin(0.002 * t) + 17.5 * cos(0.01 * t)",
-    "lab_periodic": "7.8 * cos(0.05 * t) + 9.5 * sin(0.05 * t)", "notebook_quadratic": "20 + 0.5 * t + 0.05 * t * t", "notebook_sine": "2.2 * sin(0.01 * t)",
-}
-
-
 def _generator(curve: str, sql: str) -> None:
     digits = 4 if curve.startswith("exponential2") else 8
 
@@ -411,39 +464,68 @@ def metric_regression(spark: SparkSession, d: str) -> DataFrame:
     return lsm.regression(pairs, "series_id", "y", "z").select("series_id", F.round("q0", 5).alias("q0"), F.round("q1", 6).alias("q1"), F.round("q2", 8).alias("q2"))
 
 
-def _told(series: DataFrame, fits: DataFrame, expression: str) -> DataFrame:
-    return FT.with_fit(series, fits.where("error IS NULL"), expression).groupBy("series_id").agg(*rounded(6, rse=M.rse("y", "y_fit"), r_sq=M.r_sq_fit("y", "y_fit")))
+def _told(series: DataFrame, fits: DataFrame, expression: str, digits: int = 6) -> DataFrame:
+    """series_id, error, rse, r_sq; a series without a fit has its error and nulls."""
+    told = FT.with_fit(series, fits.where("error IS NULL"), expression).groupBy("series_id").agg(*rounded(digits, rse=M.rse("y", "y_fit"), r_sq=M.r_sq_fit("y", "y_fit")))
+    return fits.select("series_id", "error").join(told, "series_id", "left")
 
 
-@query()
+def _found(fits: DataFrame, expression: str, main_var: str = "t", digits: int = 4) -> DataFrame:
+    """series_id, error and the parameters by name, in so many significant digits."""
+    names = Formula(expression, main_var).params
+    return fits.select("series_id", "error", *[_significant(F.col("params")[i], digits).alias(p) for i, p in enumerate(names)])
+
+
+def _truth(name: str, digits: int = 4, **params: float) -> str:
+    """Rows of _found for a series that is made from the formula itself: its parameters come out."""
+    return f"SELECT '{name}' AS series_id, NULL::VARCHAR AS error, " + ", ".join(f"{_sig(f'{v!r}::DOUBLE', digits)} AS {k}" for k, v in params.items())
+
+
+def _taylor(form: str, params: list[float], rank: int) -> str:
+    """The power series of a closed form, cut after `rank` terms, as a formula: a polynomial fits it exactly, and the balance is exact."""
+    c = Formula(B.CLOSED[form][0]).series(params, rank)
+    return " + ".join(f"{v!r} * t**{k}" for k, v in enumerate(c.tolist())).replace("+ -", "- ")
+
+
+@query(f"WITH {curve_sql('transcendental1')} SELECT series_id, NULL::VARCHAR AS error, round(sqrt(sum(pow(y - (0.2 * sin(0.005 * x) + 2.12 * cos(0.005 * x)), 2)) / (count(*) - 2)), 6) AS rse, 1.0::DOUBLE AS r_sq FROM cu GROUP BY series_id")
 def dsb_numeric_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The noise-free curve is found again, so nothing is left over."""
     s, e = G.curve(spark, "transcendental1"), B.CLOSED["sincos_one"][0]
     return _told(s, FT.dsb_fit(s, e), e)
 
 
-@query()
+@query(f"""WITH {curve_sql('exponential2', 1000)}, {orthogonal('cu', 4)}, c AS (SELECT series_id, 2 * c0 AS e0, 2 * c1 AS e1, c2 / 2 AS e2, c3 / 6 AS e3 FROM o), a AS (SELECT *, 3 * e3 / e2 AS a3 FROM c),
+b AS (SELECT *, 2 * e2 / (a3 * a3) AS a2 FROM a) SELECT series_id, NULL::VARCHAR AS error, {_sig('(e0 - a2)', 4)} AS a0, {_sig('(e1 - a2 * a3)', 4)} AS a1, {_sig('a2', 4)} AS a2, {_sig('a3', 4)} AS a3 FROM b""")
 def dsb_plain_fit(spark: SparkSession, d: str) -> DataFrame:
     s, e = G.curve(spark, "exponential2", 1000), B.CLOSED["exp"][0]
-    return _told(s, FT.dsb_fit(s, e, numeric=False), e)
+    return _found(FT.dsb_fit(s, e, numeric=False), e)
 
 
-@query()
+@query(_truth("wave", a0=9.5, a1=0.05, a2=7.8))
 def nonline_lm(spark: SparkSession, d: str) -> DataFrame:
-    s, e = G.curve(spark, "transcendental2"), B.CLOSED["sincos_one"][0]
-    return _told(s, FT.nonline_fit(s, e, rank=6), e)
+    """More equations than parameters: from the first ones' solution, least squares of all; the series is the formula's own up to its rank."""
+    s = G.from_formula(spark, "wave", _taylor("sincos_one", [9.5, 0.05, 7.8], 6), 40)
+    return _found(FT.nonline_fit(s, B.CLOSED["sincos_one"][0], rank=6), B.CLOSED["sincos_one"][0])
 
 
-@query()
+@query(_truth("wave", a0=9.5, a1=0.05, a2=7.8))
 def dsbi(spark: SparkSession, d: str) -> DataFrame:
-    s, e = G.curve(spark, "transcendental2", 30), B.CLOSED["sincos_one"][0]
-    return _told(s, FT.dsbi_fit(s, e, rank=5), e)
+    s = G.from_formula(spark, "wave", _taylor("sincos_one", [9.5, 0.05, 7.8], 7), 40)
+    return _found(FT.dsbi_fit(s, B.CLOSED["sincos_one"][0], rank=7), B.CLOSED["sincos_one"][0])
 
 
-@query()
+@query("SELECT 'transcendental1' AS series_id, 'the balance has no real solution' AS error, NULL::VARCHAR AS a0, NULL::VARCHAR AS a1, NULL::VARCHAR AS a2")
+def nonline_unsolvable(spark: SparkSession, d: str) -> DataFrame:
+    """Over more than a period the polynomial's curvature has the wrong sign; the error is told, and nothing else."""
+    s = G.curve(spark, "transcendental1", 1000).withColumn("y", F.lit(1.0) + F.pow(F.col("x") / 100.0, 2))
+    return _found(FT.nonline_fit(s, B.CLOSED["sincos_one"][0]), B.CLOSED["sincos_one"][0])
+
+
+@query(_truth("exponential2", c0=0.0, c1=1.2, c2=0.1, c3=0.011).replace(_sig("0.0::DOUBLE", 4) + " AS c0, ", ""))
 def iterative_exponent(spark: SparkSession, d: str) -> DataFrame:
+    """c0 is 0 but for rounding, and left out."""
     s, e = G.curve(spark, "exponential2", 600), "c0 + c1*x + c2*exp(c3*x)"
-    fits = FT.iterative_fit(s, e, [1, 0.01, 1, 0.005], "x")
-    return FT.with_fit(s, fits.where("error IS NULL"), e, "x").groupBy("series_id").agg(*rounded(6, rse=M.rse("y", "y_fit")))
+    return _found(FT.iterative_fit(s, e, [1, 0.01, 1, 0.005], "x"), e, "x").drop("c0")
 
 
 @query()
@@ -452,37 +534,101 @@ def nonline_raised(spark: SparkSession, d: str) -> DataFrame:
     return _told(s, FT.nonline_fit(s, e, raise_rank=True), e)
 
 
-@query()
+@query(_truth("exponential2", a=0.1, b=0.011, d=1.2))
 def expo_regression(spark: SparkSession, d: str) -> DataFrame:
-    """a*exp(b*x) + c + d*x by iteration from a start of one number."""
+    """a*exp(b*x) + c + d*x by iteration from a start of one number; c is 0 but for rounding, and left out."""
     s, e, b = G.curve(spark, "exponential2", 600), "a*exp(b*x) + c + d*x", 10
-    fits = FT.iterative_fit(s, e, [b / 10, b / 1000, b + 10, b / 10], "x")
-    return FT.with_fit(s, fits.where("error IS NULL"), e, "x").groupBy("series_id").agg(*rounded(6, rse=M.rse("y", "y_fit")))
+    return _found(FT.iterative_fit(s, e, [b / 10, b / 1000, b + 10, b / 10], "x"), e, "x").drop("c")
 
 
-def _high(name: str, form: str, rank: int) -> None:
-    @query(name=name)
+def _high(name: str, form: str, rank: int, true: list[float], sql: dict[str, str]) -> None:
+    text = _taylor(form, true, rank)
+    src = f"cu AS (SELECT '{form}' AS series_id, i AS x, 100::BIGINT AS n, {text.replace('**', '^')} AS y FROM (SELECT i, i::DOUBLE AS t FROM range(0, 100) r(i)))"
+    stage = "o"
+    for k, expr in sql.items():
+        stage = f"(SELECT *, {expr} AS {k} FROM {stage})"
+
+    @query(f"WITH {src}, {orthogonal('cu', rank)} SELECT series_id, {', '.join(f'{_sig(k, 4)} AS {k}' for k in sorted(sql))} FROM {stage}", name)
     def run(spark: SparkSession, d: str) -> DataFrame:
-        fits = lsm.fit(S.events(spark, d), rank)
+        fits = lsm.fit(G.from_formula(spark, form, text, 100), rank)
         a = B.closed_form(form, [F.col("coeffs")[k] for k in range(rank)], False)
         return fits.select("series_id", *[_significant(v, 4).alias(k) for k, v in a.items()])
 
 
-_high("dsb_cos_cube", "cos_cube", 5)
-_high("dsb_sincos_full", "sincos", 6)
+_high("dsb_cos_cube", "cos_cube", 5, [3.0, 0.5, 0.002, 4.0, 0.03], {"a4": "sqrt(-12 * c4 / c2)", "a3": "-2 * c2 / (a4 * a4)", "a2": "c3", "a1": "c1", "a0": "c0 - a3"})
+_high("dsb_sincos_full", "sincos", 6, [3.0, 0.5, 2.0, 0.04, 5.0, 0.03], {"a5": "sqrt(-12 * c4 / c2)", "a3": "sqrt(-20 * c5 / c3)", "a4": "-2 * c2 / (a5 * a5)", "a2": "-6 * c3 / (a3 * a3 * a3)", "a1": "c1 - a2 * a3", "a0": "c0 - a4"})
 
 
-@query()
+@query(f"""WITH {curve_sql('exponential2', 300)}, {sums('cu')}, br AS (SELECT *, sqrt(2 * p2) AS a2 FROM q), rs AS (SELECT v.series_id, sum(pow(y - (p0 - 1 + (p1 - a2) * x + exp(a2 * x)), 2)) AS one, sum(pow(y - (p0 - 1 + (p1 + a2) * x + exp(-a2 * x)), 2)) AS other, any_value(p0) AS p0, any_value(p1) AS p1, any_value(a2) AS a2 FROM cu v JOIN br USING (series_id) GROUP BY 1)
+SELECT series_id, {_sig('(p0 - 1)')} AS a0, {_sig('(p1 - CASE WHEN other < one THEN -a2 ELSE a2 END)')} AS a1, {_sig('(CASE WHEN other < one THEN -a2 ELSE a2 END)')} AS a2, {_sig('least(one, other)')} AS rss FROM rs""")
+def dsb_exp_linear_branch(spark: SparkSession, d: str) -> DataFrame:
+    """The branch that is nearer to the series."""
+    s = G.curve(spark, "exponential2", 300)
+    return B.nearer_branch(s, lsm.fit(s, 3)).select("series_id", *[_significant(F.col(c)).alias(c) for c in ("a0", "a1", "a2", "rss")])
+
+
+def _rank_scores(src: str, ranks: range) -> str:
+    """m: series_id, rank, rse, r_sq of each rank."""
+    each = " UNION ALL ".join(f"SELECT series_id, {r} AS rank, y, g{r} AS g FROM u{ranks[-1]}" for r in ranks)
+    return f"{orthogonal(src, ranks[-1])}, m AS (SELECT series_id, rank, sqrt(sum(pow(y - g, 2)) / (count(*) - 2)) AS rse, 1 - sum(pow(y - g, 2)) / (var_pop(g) * count(*)) AS r_sq FROM ({each}) GROUP BY ALL)"
+
+
+@query(f"""WITH {OD}, {_rank_scores('od', range(2, 9))}, c AS (SELECT *, abs(lead(rse) OVER w - rse) * abs(lead(r_sq) OVER w - r_sq) AS change FROM m WINDOW w AS (PARTITION BY series_id ORDER BY rank))
+SELECT series_id, coalesce(min(rank) FILTER (change < 1e-6), 2)::INTEGER AS rank FROM c GROUP BY series_id""")
 def settled_rank(spark: SparkSession, d: str) -> DataFrame:
     return lsm.settled_rank(lsm.best_rank(S.orders(spark, d), range(2, 9)), 2)
 
 
+def _scores(df: DataFrame) -> DataFrame:
+    return df.select("series_id", "error", *[F.round(c, 6).alias(c) for c in ("train_rse", "train_r_sq", "test_rse", "test_r_sq")])
+
+
+_SWEEP_EXP, _SWEEP_WAVE, _SWEEP_FULL = B.CLOSED["exp"][0], B.CLOSED["sincos_one"][0], B.CLOSED["sincos"][0]
+
+
+def _sweep(name: str, expression: str, text: str, grid: list[dict]) -> None:
+    @query(name=name)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _scores(X.perform(X.cells(spark, text, grid), expression))
+
+
+_sweep("sweep_ratio_exponential", _SWEEP_EXP, G.CURVES["exponential1"][1], [{"label": k / 4, "size": 10_000, "test_ratio": k / 4} for k in range(2, 8)])
+_sweep("sweep_size_exponential", _SWEEP_EXP, G.CURVES["exponential1"][1], [{"label": k, "size": k} for k in range(1000, 10_000, 500)])
+_sweep("sweep_ratio_wave", _SWEEP_WAVE, G.CURVES["transcendental1"][1], [{"label": k / 2, "size": 1000, "test_ratio": k / 2} for k in range(1, 10)])
+_sweep("sweep_size_wave", _SWEEP_WAVE, G.CURVES["transcendental1"][1], [{"label": k, "size": k, "test_ratio": 2} for k in range(400, 3000, 100)])
+_sweep("sweep_size_short_wave", _SWEEP_WAVE, G.CURVES["transcendental2"][1], [{"label": k, "size": k, "test_ratio": 2} for k in range(20, 200, 10)])
+GROWTH = [{"label": k / 100, "size": 500, "g": k / 100} for k in range(1, 12)]
+GROWTH_CURVE = "30 + 0.01*t + g*exp(0.011*t)"
+_sweep("sweep_growth", _SWEEP_EXP, GROWTH_CURVE, GROWTH)
+
+
 @query()
-def sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    return X.sensitivity(spark, B.CLOSED["sincos_one"][0], "transcendental1", 1000, [500, 800], [5.0, 20.0])
+def sweep_growth_regression(spark: SparkSession, d: str) -> DataFrame:
+    """Quadratic regression of the scores on the untrained part, each as a share of the largest, on that part's growth."""
+    grid = X.cells(spark, GROWTH_CURVE, GROWTH)
+    scores = X.perform(grid, _SWEEP_EXP).where("error IS NULL").select("series_id", "test_rse", (-F.col("test_r_sq")).alias("test_miss"))
+    rates = grid.where("x >= size").groupBy("series_id").agg(M.growth().alias("rate"))
+    long = scores.join(rates, "series_id").select("rate", F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("v")) for c in ("test_rse", "test_miss")])).alias("m")).select("rate", "m.measure", "m.v")
+    top = long.groupBy("measure").agg(F.max("v").alias("top"))
+    shares = long.join(top, "measure").withColumn("share", F.col("v") / F.col("top"))
+    return lsm.regression(shares, "measure", "rate", "share").select("measure", *[F.round(c, 4).alias(c) for c in ("q0", "q1", "q2")])
 
 
 @query()
+def sweep_complexity(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(X.complexity(G.curve(spark, "combined1"), _SWEEP_FULL, list(range(2, 10))))
+
+
+@query()
+def sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    """From more than half a period on; with less, the balance has no real solution."""
+    r = X.sensitivity(spark, _SWEEP_WAVE, "transcendental1", 1000, [700, 900], [5.0, 20.0])
+    return r.select("size", "noise_coeff", "error", *[F.round(c, 6).alias(c) for c in ("train_rse", "train_r_sq", "test_rse", "test_r_sq")])
+
+
+@query(f"""WITH {curve_sql('lab_periodic')}, w AS (SELECT series_id || '~' || s AS series_id, x, n, s AS sigma, y AS ideal, y + {normal_sql(1, 'series_id', 'x')} * s AS y FROM cu, (SELECT unnest([0.0, 0.5, 1.5])::DOUBLE AS s)),
+{orthogonal('w', 3, 'sigma ideal')}, f AS (SELECT sigma, abs(g3 - ideal) AS far FROM u3)
+SELECT 'lab_periodic' AS series_id, sigma, round(avg(far), 6) AS mean, round(var_pop(far), 6) AS variance, round(stddev_pop(far), 6) AS deviation FROM f GROUP BY sigma""")
 def deviation_by_noise(spark: SparkSession, d: str) -> DataFrame:
     r = X.deviation_by_noise(G.curve(spark, "lab_periodic"), 3, [0.0, 0.5, 1.5])
     return r.select("series_id", "sigma", *[F.round(c, 6).alias(c) for c in ("mean", "variance", "deviation")])
@@ -490,51 +636,147 @@ def deviation_by_noise(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mass_test(spark: SparkSession, d: str) -> DataFrame:
-    return X.mass_test(spark, "a0 + a1*t + exp(a2*t)", "exponential2", [10, 100, 200, 500, 1000, 2000], [3, 4, 5, 6], numeric=True, noisy=True).withColumn("r_sq", F.round("r_sq", 6))
+    return X.mass_test(spark, B.CLOSED["exp_linear"][0], "exponential2", [10, 100, 200, 500, 1000, 2000], [3, 4, 5, 6], numeric=True, noisy=True).withColumn("r_sq", F.round("r_sq", 6))
 
 
-@query()
+def _cut_sql(sizes: list[int], cte: str = "cu") -> str:
+    """w: the series cut to each size."""
+    return f"w AS (SELECT series_id || '@' || size AS series_id, x, size::BIGINT AS n, y, size FROM {cte}, (SELECT unnest({sizes}) AS size) WHERE x < size)"
+
+
+@query(f"""WITH {curve_sql('exponential1')}, {_cut_sql([10, 100, 1000, 10_000])}, {_rank_scores('w', range(2, 10))}
+SELECT series_id, rank, NULL::VARCHAR AS error, round(r_sq, 6) AS r_sq FROM m""")
 def polynomial_mass_test(spark: SparkSession, d: str) -> DataFrame:
     return X.polynomial_mass_test(spark, "exponential1", [10, 100, 1000, 10_000], range(2, 10)).withColumn("r_sq", F.round("r_sq", 6))
 
 
 @query()
 def perform_test(spark: SparkSession, d: str) -> DataFrame:
-    return X.perform_test(G.curve(spark, "transcendental1"), B.CLOSED["sincos_one"][0], 800, numeric=True)
+    return _scores(X.perform_test(G.curve(spark, "transcendental1"), _SWEEP_WAVE, 800, numeric=True))
 
 
-@query()
+@query(f"""WITH {curve_sql('exponential1')}, w AS (SELECT series_id || '#' || run AS series_id, x, n, y AS ideal, y + {normal_sql(1, "series_id || '#' || run", 'x')} * 5.0 AS y FROM cu, (SELECT unnest(range(0, 100)) AS run)),
+{orthogonal('w', 3, 'ideal')}, r AS (SELECT series_id, sqrt(sum(pow(ideal - g3, 2)) / (count(*) - 2)) AS rse FROM u3 GROUP BY 1)
+SELECT 'exponential1' AS series_id, count(*) AS runs, round(median(rse), 6) AS rse_median, round(stddev_pop(rse), 6) AS rse_deviation FROM r""")
 def monte_carlo(spark: SparkSession, d: str) -> DataFrame:
-    return X.monte_carlo(G.curve(spark, "exponential1", 10_000), 3, 100, 5.0)
+    r = X.monte_carlo(G.curve(spark, "exponential1", 10_000), 3, 100, 5.0)
+    return r.select("series_id", "runs", F.round("rse_median", 6).alias("rse_median"), F.round("rse_deviation", 6).alias("rse_deviation"))
 
 
-@query()
+_SIZES = list(range(400, 2200, 20))
+
+
+@query(f"""WITH {curve_sql('transcendental1', 2200)}, no AS (SELECT series_id, x, n, y + {normal_sql(1, 'series_id', 'x')} * 5.0 + 0.1 AS y FROM cu), {_cut_sql(_SIZES, 'no')}, {orthogonal('w', 10, 'size')},
+m AS (SELECT size, sqrt(sum(pow(y - g10, 2)) / (count(*) - 2)) AS rse, sum(pow(y - g10, 2)) / (var_pop(g10) * count(*)) AS miss FROM u10 GROUP BY size)
+SELECT 'transcendental1' AS series_id, size::INTEGER AS size, round((rse - min(rse) OVER ()) / (max(rse) OVER () - min(rse) OVER ()) + (miss - min(miss) OVER ()) / (max(miss) OVER () - min(miss) OVER ()), 4) AS score FROM m""")
 def growing_prefixes(spark: SparkSession, d: str) -> DataFrame:
-    return X.growing_prefixes(G.add_noise(G.curve(spark, "transcendental1", 2200), 0.1), list(range(400, 2200, 20)), 10)
+    return X.growing_prefixes(G.add_noise(G.curve(spark, "transcendental1", 2200), 0.1), _SIZES, 10).withColumn("score", F.round("score", 4))
 
 
-@query()
+_NOISE = "round(median(e), 6) AS median, round(var_pop(e), 5) AS variance, round(stddev_pop(e), 6) AS deviation"
+_OUTLIERS = f"""d AS (SELECT (floor({uniform_sql(8, "'exponential1'", 'draw')} * 9999) + 1)::BIGINT AS x, draw, {normal_sql(9, "'exponential1'", 'draw')} * 5.0 * 3.0 AS v FROM (SELECT unnest(range(1, 1001)) AS draw)),
+hit AS (SELECT x, sum(v) AS total, max_by(v, draw) AS last FROM d GROUP BY x)"""
+
+
+def _noise(df: DataFrame) -> DataFrame:
+    e = df.withColumn("e", F.col("y") - F.col("y_ideal"))
+    return e.groupBy("series_id").agg(*rounded(6, median=F.median("e")), *rounded(5, variance=F.var_pop("e")), *rounded(6, deviation=F.stddev_pop("e")))
+
+
+@query(f"WITH {curve_sql('exponential1')}, e AS (SELECT series_id, {normal_sql(1, 'series_id', 'x')} * 5.0 AS e FROM cu) SELECT series_id, {_NOISE} FROM e GROUP BY series_id")
 def noise_normal(spark: SparkSession, d: str) -> DataFrame:
-    n = G.add_noise(G.curve(spark, "exponential1"), 0.0, 5.0).withColumn("e", F.col("y") - F.col("y_ideal"))
-    return n.groupBy("series_id").agg(*rounded(6, median=F.median("e"), variance=F.var_pop("e"), deviation=F.stddev_pop("e")))
+    return _noise(G.add_noise(G.curve(spark, "exponential1"), 0.0, 5.0))
 
 
-@query()
+@query(f"WITH {curve_sql('exponential1')}, {_OUTLIERS}, e AS (SELECT series_id, {normal_sql(1, 'series_id', 'cu.x')} * 5.0 + coalesce(total, 0) AS e FROM cu LEFT JOIN hit ON hit.x = cu.x) SELECT series_id, {_NOISE} FROM e GROUP BY series_id")
 def noise_outliers(spark: SparkSession, d: str) -> DataFrame:
-    n = G.add_noise(G.curve(spark, "exponential1"), 0.0, 5.0, abnormal=True).withColumn("e", F.col("y") - F.col("y_ideal"))
-    return n.groupBy("series_id").agg(*rounded(6, median=F.median("e"), variance=F.var_pop("e"), deviation=F.stddev_pop("e")))
+    return _noise(G.add_noise(G.curve(spark, "exponential1"), 0.0, 5.0, abnormal=True))
+
+
+@query(f"WITH {curve_sql('exponential1')}, {_OUTLIERS}, e AS (SELECT series_id, coalesce(last, {normal_sql(1, 'series_id', 'cu.x')} * 5.0) AS e FROM cu LEFT JOIN hit ON hit.x = cu.x) SELECT series_id, {_NOISE} FROM e GROUP BY series_id")
+def noise_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """Outliers take the place of the noise."""
+    return _noise(G.add_noise(G.curve(spark, "exponential1"), 0.0, 5.0, abnormal=True, replace=True))
+
+
+@query(f"SELECT i AS draw, (floor({uniform_sql(1, 'i')} * 9999) + 1)::BIGINT AS x FROM range(0, 1000) r(i)")
+def outlier_positions(spark: SparkSession, d: str) -> DataFrame:
+    return G.outlier_positions(spark, 10_000, 1000)
 
 
-def _law(law: str, a: float, b: float = 0.0) -> None:
-    @query(name=f"random_{law}")
+def _law(law: str, a: float, b: float, sql: str) -> None:
+    @query(f"SELECT round(avg(y), 6) AS mean, round(median(y), 6) AS median, round(var_pop(y), 6) AS variance FROM (SELECT {sql} AS y FROM range(0, 10000) r(i))", f"random_{law}")
     def run(spark: SparkSession, d: str) -> DataFrame:
         return G.sample(spark, law, 10_000, a, b).agg(*rounded(6, mean=F.avg("y"), median=F.median("y"), variance=F.var_pop("y")))
 
 
-_law("uniform", 0.0, 10.0)
-_law("normal", 0.0, 5.0)
-_law("exponential", 2.0)
-_law("chi_square", 3.0)
+_law("uniform", 0.0, 10.0, f"{uniform_sql(1, 'i')} * 10")
+_law("normal", 0.0, 5.0, f"{normal_sql(1, 'i')} * 5")
+_law("exponential", 2.0, 0.0, f"-2 * ln({uniform_sql(1, 'i')})")
+_law("chi_square", 3.0, 0.0, " + ".join(f"pow({normal_sql(1000 + k, 'i')}, 2)" for k in range(3)))
+
+
+@query(f"WITH {OD}, {LI} SELECT od.x, round(od.y, 4) AS y_left, round(li.y, 4) AS y_right FROM od JOIN li ON li.x = od.x WHERE od.x < 1000")
+def paired_series(spark: SparkSession, d: str) -> DataFrame:
+    """The first thousand days of two series, by place; a sample without partner would be an error."""
+    a, b = (S.head(s(spark, d), 1000).withColumn("series_id", F.lit("pair")) for s in (S.orders, S.lineitem))
+    return M.same_size(a, b).select("x", F.round("y_left", 4).alias("y_left"), F.round("y_right", 4).alias("y_right"))
+
+
+@query(f"WITH {curve_sql('notebook_sine')} SELECT 'callable' AS series_id, x, round(y, 8) AS y FROM cu")
+def gen_callable(spark: SparkSession, d: str) -> DataFrame:
+    """A Python function as the data model."""
+    return G.from_callable(spark, "callable", lambda t: 2.2 * np.sin(0.01 * t), 1000).select("series_id", "x", F.round("y", 8).alias("y"))
+
+
+# ---------------------------------------------------------------- streams
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The table as a stream of files; as a pattern, its path may be a file or a folder."""
+    return spark.readStream.schema(S.read_table(spark, d, "events").schema).parquet(f"{d}/events[.]parquet")
+
+
+@query(ORACLES["alpha_beta"])
+def alpha_beta_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The stateful filter over events as a stream that ends with what is there."""
+    stream = _event_stream(spark, d)
+    out = drained(SF.alpha_beta_stream(stream, "event_type", "ts", "value"))
+    place = F.row_number().over(Window.partitionBy("series_id").orderBy("at")) - 1
+    return out.select("series_id", place.cast("long").alias("x"), F.round("y_clean", 4).alias("y_clean"))
+
+
+@query("""WITH w AS (SELECT event_type AS series_id, date_trunc('day', ts) AS start, avg(value) AS y, count(*) AS n FROM events GROUP BY ALL)
+SELECT series_id, start::TIMESTAMP AS start, round(y, 6) AS y, n FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def window_means_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """Daily means of the windows that the watermark has closed."""
+    stream = _event_stream(spark, d)
+    out = drained(SF.window_means(stream, "event_type", "ts", "value"))
+    return out.select("series_id", F.col("start").cast("timestamp_ntz").alias("start"), F.round("y", 6).alias("y"), "n")
+
+
+# ---------------------------------------------------------------- cleaning, then a trend: the composed runs
+def _composed(name: str, clean, sql: str) -> None:
+    @query(f"WITH RECURSIVE {EV}, {sql}, {fitted_sql('cl')} SELECT series_id, round(median(y - g), 5) AS median, round(var_pop(y - g), 4) AS variance, round(stddev_pop(y - g), 5) AS deviation, round(1 - sum(pow(y - g, 2)) / (var_pop(y) * count(*)), 6) AS r2 FROM f GROUP BY series_id", name)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        ev = S.events(spark, d)
+        cleaned = ev.select("series_id", "x", "n").join(clean(ev).select("series_id", "x", F.col("y_clean").alias("y")), ["series_id", "x"])
+        r = lsm.fitted(cleaned, 3).withColumn("r", F.col("y") - F.col("y_fit"))
+        return r.groupBy("series_id").agg(*rounded(5, median=F.median("r")), *rounded(4, variance=F.var_pop("r")), *rounded(5, deviation=F.stddev_pop("r")), *rounded(6, r2=M.r2_observed("y", "y_fit")))
+
+
+def _fold_sql(test: str, value: str, pre: str = "", more: str = "") -> str:
+    """cl: the detector's cleaned series, as rows of a series."""
+    last = "[r.w[2], r.w[3], r.w[4], r.w[5], e.y]"
+    return f"""{pre}k AS (SELECT series_id, list(y ORDER BY x) AS w, stddev_pop(y) AS ref FROM ev WHERE x < 5 GROUP BY series_id), r AS (
+  SELECT series_id, 3::BIGINT AS x, ref, [w[1], w[1], w[2], w[3], w[4]] AS w FROM k
+  UNION ALL
+  SELECT e.series_id, e.x, r.ref, [r.w[2], r.w[3], r.w[4], r.w[5], CASE WHEN {test.format(last)} THEN {value.format(last)} ELSE e.y END] FROM r JOIN ev e ON e.series_id = r.series_id AND e.x = r.x + 1{more}),
+cl AS (SELECT series_id, x, n, y FROM ev WHERE x < 4 UNION ALL SELECT r.series_id, r.x, e.n, r.w[5] FROM r JOIN ev e ON e.series_id = r.series_id AND e.x = r.x WHERE r.x > 3)"""
+
+
+_composed("clean_medium_trend", C.detect_medium, _fold_sql("list_aggregate({}, 'stddev_pop') > 1.6 * r.ref", "list_aggregate({}, 'median')"))
+_TREND = sums("ev").replace("s AS (", "s_ AS (").replace("b AS (SELECT", "b_ AS (SELECT").replace("FROM s)", "FROM s_)").replace("q AS (", "q_ AS (").replace("FROM b)", "FROM b_)")
+_composed("clean_mnk_trend", C.detect_mnk, _fold_sql("7 * sqrt(5) * list_aggregate({}, 'stddev_pop') > sqrt(e.n)", "p0 + p1 * e.x + p2 * e.x * e.x", f"{_TREND}, ", " JOIN q_ ON q_.series_id = e.series_id"))
+_composed("clean_sliding_trend", C.sliding_median, "m AS (SELECT series_id, x, n, y, list(y) OVER (PARTITION BY series_id ORDER BY x ROWS 4 PRECEDING) AS l FROM ev), cl AS (SELECT series_id, x, n, CASE WHEN x < 5 THEN y ELSE list_aggregate(l, 'median') END AS y FROM m)")
 
 
 # ---------------------------------------------------------------- pages, text, tables
@@ -544,11 +786,29 @@ def html_title_links(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", H.title("html").alias("title"), F.size(H.links("html")).cast("long").alias("n_links"), F.try_element_at(H.links("html"), F.lit(1)).alias("first_link"))
 
 
-@query()
+@query("""SELECT page_id::VARCHAR AS key, item, trim(regexp_replace(texts[item + 1], '\\s+', ' ', 'g')) AS text, NULL::VARCHAR AS href
+FROM (SELECT page_id, texts, unnest(range(0, len(texts)))::INTEGER AS item FROM (SELECT page_id, regexp_extract_all(html, '<div class="ad">([^<]*)</div>', 1) AS texts FROM pages))""")
 def html_select(spark: SparkSession, d: str) -> DataFrame:
     return H.html_select(S.read_table(spark, d, "pages"), "div", "ad")
 
 
+@query("""SELECT key, t AS table_no, r AS row_no, c AS col_no, v AS text FROM (SELECT c_custkey::VARCHAR AS key, unnest([
+  {'t': 0, 'r': 0, 'c': 0, 'v': 'name'}, {'t': 0, 'r': 0, 'c': 1, 'v': c_name}, {'t': 0, 'r': 1, 'c': 0, 'v': c_nationkey::VARCHAR}, {'t': 1, 'r': 0, 'c': 0, 'v': c_custkey::VARCHAR}], recursive := true) FROM customer)""")
+def html_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of pages that are made of a table's rows."""
+    c = S.read_table(spark, d, "customer")
+    parts = [F.lit("<p>x</p><table><tr><th>name</th><td> "), F.col("c_name"), F.lit("</td></tr><tr><td>"), F.col("c_nationkey").cast("string"), F.lit("</td></tr></table><TABLE><tr><td><b>"), F.col("c_custkey").cast("string"), F.lit("</b></td></tr></TABLE>")]
+    return H.html_tables(c.select(F.col("c_custkey").alias("page_id"), F.concat(*parts).alias("html")))
+
+
+@query("SELECT p_partkey::VARCHAR AS key, 0 AS item, p_name AS title, 'https://parts/p/' || p_partkey AS href, p_brand AS about FROM part")
+def html_records(spark: SparkSession, d: str) -> DataFrame:
+    """Cards of pages that are made of a table's rows; a card without a heading is skipped."""
+    c = S.read_table(spark, d, "part")
+    parts = [F.lit('<div class="card"><h2><a href="/p/'), F.col("p_partkey").cast("string"), F.lit('">'), F.col("p_name"), F.lit("</a></h2><p> "), F.col("p_brand"), F.lit(' </p></div><div class="card"><p>none</p></div>')]
+    return H.html_records(c.select(F.col("p_partkey").alias("page_id"), F.concat(*parts).alias("html")), "card", "https://parts")
+
+
 @query("SELECT page_id, trim(replace(regexp_extract(url, '^https?://([^/]*)', 1), 'www.', '')) AS host, 'https://' || regexp_extract(url, '^https?://(.*)$', 1) AS secure, to_json({'id': page_id, 'url': url})::VARCHAR AS record FROM pages WHERE url IS NOT NULL")
 def text_functions(spark: SparkSession, d: str) -> DataFrame:
     p = S.read_table(spark, d, "pages").where("url IS NOT NULL")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,18 +25,33 @@ CURVES = {
 }
 
 
-def curve(spark: SparkSession, name: str, n: int | None = None) -> DataFrame:
-    """(series_id, x, n, y) of a test curve."""
+def from_formula(spark: SparkSession, name: str, text: str, n: int, var: str = "t") -> DataFrame:
+    """(series_id, x, n, y) of a formula without parameters."""
     from ..functions.formula import Formula
 
+    return spark.range(n).select(F.lit(name).alias("series_id"), F.col("id").alias("x"), F.lit(n).cast("long").alias("n"), Formula(text, var).column(F.col("id").cast("double"), {}).alias("y"))
+
+
+def from_callable(spark: SparkSession, name: str, work: Callable[[np.ndarray], np.ndarray], n: int) -> DataFrame:
+    """(series_id, x, n, y) of a Python function of an array of places, asked batch by batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"series_id": name, "x": b.id, "n": n, "y": np.asarray(work(b.id.to_numpy(float)), float)})
+
+    return spark.range(n).mapInPandas(run, "series_id string, x long, n long, y double")
+
+
+def curve(spark: SparkSession, name: str, n: int | None = None) -> DataFrame:
+    """(series_id, x, n, y) of a test curve."""
     size, text = CURVES[name]
-    size = size if n is None else n
-    return spark.range(size).select(F.lit(name).alias("series_id"), F.col("id").alias("x"), F.lit(size).cast("long").alias("n"), Formula(text, "t").column(F.col("id").cast("double"), {}).alias("y"))
+    return from_formula(spark, name, text, size if n is None else n)
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
-    """U(0, 1), never 0 or 1."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11).cast("double") + 0.5) / float(1 << 53)
+    """U(0, 1), never 0 or 1: 52 bits of the MD5 of seed/key/key..., which other engines can repeat."""
+    text = F.concat_ws("/", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
 
 
 def normal(seed: int, *keys: Column | str) -> Column:
