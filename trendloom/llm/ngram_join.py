@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .components import components, with_classes
+from .components import HEAVY, LEAST_HEAVY, components, with_classes
 from .storage import cut, drop
 
 SKETCH = 1 << 20
@@ -177,8 +177,23 @@ def with_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
 
     made = docs.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))).mapInArrow(K.lean(run), "id long, shingles array<long>")
     sets = made.join(ids, "id", "left_semi")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    return left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    total = pairs.count()
+    left = beside(pairs, pairs, total, sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a", "b")
+    return beside(left, pairs, total, sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b", "a").select("a", "b", "x", "y")
+
+
+def beside(rows: DataFrame, pairs: DataFrame, total: int, sets: DataFrame, key: str, other: str) -> DataFrame:
+    """rows joined with the set of their key. The set of a key with many pairs is copied, so that its rows can spread over tasks.
+
+    pairs: the keys of rows, `total` of them; keys with more than 1 / HEAVY of all pairs are broadcast, so fewer than HEAVY.
+    """
+    bound = max(LEAST_HEAVY, total // HEAVY)
+    times = pairs.groupBy(key).agg(F.count("*").alias("times")).where(F.col("times") > bound)
+    heavy = F.broadcast(times.select(key, F.ceil(F.col("times") / bound).cast("int").alias("spread")))
+    spread = F.coalesce("spread", F.lit(1))
+    salted = rows.join(heavy, key, "left").withColumn("salt", F.pmod(F.xxhash64(other), spread).cast("int")).drop("spread")
+    copied = sets.join(heavy, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), spread - 1))).drop("spread")
+    return salted.join(copied, [key, "salt"]).drop("salt")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
