@@ -260,6 +260,17 @@ def test_numeric_fits_are_least(spark, text, curve, n):
             assert ((f.values(t, moved) - y) ** 2).sum() > (r**2).sum()
 
 
+def test_long_series_are_polished_in_place(spark):
+    """The fit of sums over partitions equals that of one task; a series without a balance keeps its error."""
+    e = B.CLOSED["sincos_one"][0]
+    s = G.add_noise(G.curve(spark, "transcendental1", 900), 0, 0.05).select("series_id", "x", "n", "y").repartition(3)
+    flat = spark.range(30).select(F.lit("flat").alias("series_id"), F.col("id").alias("x"), F.lit(30).cast("long").alias("n"), F.lit(0.0).alias("y"))
+    one = FT.dsb_fit(s, e).first()
+    both = {r.series_id: r for r in FT.dsb_fit(s.unionByName(flat), e, long_series=True).collect()}
+    assert both["transcendental1"].params == pytest.approx(one.params, rel=1e-5) and both["transcendental1"].error is None
+    assert both["flat"].params is None and both["flat"].error
+
+
 def test_unsolvable_models_fail_clearly():
     with pytest.raises(B.BalanceError):
         B.solve(Formula("a0 + a1*t + a2*sin(a3*t)"), np.array([1.0, 2.0, 3.0, 4.0]))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.formula import Formula
+from ..sources.shared import written
 from . import balance as B
 from . import lsm
 
@@ -128,11 +129,96 @@ def fit_each(series: DataFrame, formulas: dict[int, tuple[str, int]], main_var:
     return _with_samples(series if numeric else None, fits, run, PARAMS_SCHEMA + ", label int")
 
 
-def dsb_fit(series: DataFrame, expression: str, main_var: str = "t", rank: int = 0, numeric: bool = True, discretes: bool = True, maxfev: int = 100_000) -> DataFrame:
-    """series_id, n, params (by name), coeffs, error (null if fitted)."""
+def dsb_fit(series: DataFrame, expression: str, main_var: str = "t", rank: int = 0, numeric: bool = True, discretes: bool = True, maxfev: int = 100_000, long_series: bool = False) -> DataFrame:
+    """series_id, n, params (by name), coeffs, error (null if fitted). With long_series, polishing leaves a series' samples where they
+    are (see polish), at a pass over the data for each step; else a series is polished by one task."""
+    if numeric and long_series:
+        return polish(series, _fit(series, expression, main_var, rank, False, discretes, maxfev), expression, main_var)
     return _fit(series, expression, main_var, rank, numeric, discretes, maxfev)
 
 
+#: Dampings that a pass over a long series tries side by side, as multiples of the last good one.
+TRIED = (0.1, 1.0, 10.0, 1e3)
+
+
+def _slopes(formula: Formula):
+    """Of each series in a partition and each of its trials: the sums of products of derivatives, of derivatives and residuals, and of
+    squared residuals."""
+    m = len(formula.params)
+
+    def run(batches):
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            for key, g in b.groupby("series_id", sort=False):
+                x, y, row = g.x.to_numpy(float), g.y.to_numpy(float), g.iloc[0]
+                told = []
+                for k in range(len(TRIED)):
+                    v, d = formula.values(x, [float(row[f"p{k}_{i}"]) for i in range(m)], True)
+                    r = v - y
+                    with np.errstate(all="ignore"):
+                        told.append(np.concatenate([(d.T @ d).ravel(), d.T @ r, [r @ r]]))
+                one = np.concatenate(told)
+                sums[key] = sums[key] + one if key in sums else one
+        if sums:
+            yield pd.DataFrame({"series_id": list(sums), "sums": [x.tolist() for x in sums.values()]})
+
+    return run
+
+
+def _moved(m: int):
+    """One step of Levenberg and Marquardt's method for each series: its state and the sums at its trials to the next state."""
+    size = m * m + m + 1
+
+    def run(state: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        s = state.iloc[0]
+        trials, best, told, cost, damp, done = np.array(s.trials, float), s.best, s.told, s.cost, s.damp, bool(s.done)
+        if not done:
+            new = np.sum(np.array(sums.sums.tolist(), float), 0).reshape(-1, size) if len(sums) else np.full((len(TRIED), size), np.nan)
+            costs = np.where(np.isfinite(new).all(1), new[:, -1], np.inf)
+            k = int(np.argmin(costs))
+            if costs[k] < (np.inf if best is None else cost):
+                done = best is not None and cost - costs[k] <= 1e-12 * cost
+                damp = max(damp * (TRIED[k] if best is not None else 1.0), 1e-15)
+                best, told, cost = trials[m * k : m * k + m].tolist(), new[k].tolist(), float(costs[k])
+            else:
+                damp *= TRIED[-1]
+            done = done or best is None or cost == 0 or damp > 1e12
+            if not done:
+                at = np.array(told, float)
+                jj, jr = at[: m * m].reshape(m, m), at[m * m : m * m + m]
+                scale = np.maximum(np.sqrt(np.diag(jj)), 1e-300)
+                trials = np.concatenate([np.array(best, float) + np.linalg.lstsq(jj / scale / scale[:, None] + damp * f * np.eye(m), -jr / scale, rcond=None)[0] / scale for f in TRIED])
+        return pd.DataFrame({"series_id": [s.series_id], "trials": [trials.tolist()], "best": [best], "told": [told], "cost": [cost], "damp": [damp], "done": [done]})
+
+    return run
+
+
+_STATE = "series_id string, trials array<double>, best array<double>, told array<double>, cost double, damp double, done boolean"
+
+
+def polish(series: DataFrame, fits: DataFrame, expression: str, main_var: str = "t", rounds: int = 100) -> DataFrame:
+    """fits with parameters of the least sum of squares, from theirs on, without bringing a series into one task.
+
+    A step needs of the samples only sums of products of derivatives and residuals, which partitions make on their own; one small
+    row for each series and partition moves. Each round is one pass over the series that aren't done, and its state a written table.
+    A pass scores the steps of several dampings at once and takes the best.
+    """
+    formula = Formula(expression, main_var)
+    m = len(formula.params)
+    none = lambda kind: F.lit(None).cast(kind)
+    state = fits.where("error IS NULL").select("series_id", F.flatten(F.array_repeat(F.col("params"), len(TRIED))).alias("trials"), none("array<double>").alias("best"), none("array<double>").alias("told"), none("double").alias("cost"), F.lit(1e-3).alias("damp"), F.lit(False).alias("done"))
+    state = written(state, "polish")
+    for _ in range(rounds):
+        open_ = state.where("NOT done").select("series_id", *[F.col("trials")[m * k + i].alias(f"p{k}_{i}") for k in range(len(TRIED)) for i in range(m)])
+        if open_.isEmpty():
+            break
+        sums = series.select("series_id", "x", "y").join(open_, "series_id").mapInPandas(_slopes(formula), "series_id string, sums array<double>")
+        state = written(state.groupBy("series_id").cogroup(sums.groupBy("series_id")).applyInPandas(_moved(m), _STATE), "polish")
+    told = fits.join(state.select("series_id", "best", F.lit(True).alias("tried")), "series_id", "left")
+    error = F.when(F.col("tried") & F.col("best").isNull(), "numerical fit diverged").otherwise(F.col("error"))
+    return told.select("series_id", "n", F.col("best").alias("params"), "coeffs", error.alias("error"))
+
+
 def nonline_fit(series: DataFrame, expression: str, main_var: str = "t", rank: int = 0, numeric: bool = False, offset: bool = False, raise_rank: bool = False, maxfev: int = 100_000) -> DataFrame:
     """Raw balance (discrete with offset); with more coefficients than parameters, in the least-squares sense. raise_rank lets each
     series choose its rank, from `rank` up."""

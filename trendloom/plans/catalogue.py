@@ -494,6 +494,13 @@ def dsb_numeric_fit(spark: SparkSession, d: str) -> DataFrame:
     return _told(s, FT.dsb_fit(s, e), e)
 
 
+@query(_truth("transcendental1", a0=0.2, a1=0.005, a2=2.12))
+def dsb_long_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The same curve, polished without bringing its samples into one task."""
+    e = B.CLOSED["sincos_one"][0]
+    return _found(FT.dsb_fit(G.curve(spark, "transcendental1"), e, long_series=True), e)
+
+
 @query(f"""WITH {curve_sql('exponential2', 1000)}, {orthogonal('cu', 4)}, c AS (SELECT series_id, 2 * c0 AS e0, 2 * c1 AS e1, c2 / 2 AS e2, c3 / 6 AS e3 FROM o), a AS (SELECT *, 3 * e3 / e2 AS a3 FROM c),
 b AS (SELECT *, 2 * e2 / (a3 * a3) AS a2 FROM a) SELECT series_id, NULL::VARCHAR AS error, {_sig('(e0 - a2)', 4)} AS a0, {_sig('(e1 - a2 * a3)', 4)} AS a1, {_sig('a2', 4)} AS a2, {_sig('a3', 4)} AS a3 FROM b""")
 def dsb_plain_fit(spark: SparkSession, d: str) -> DataFrame:

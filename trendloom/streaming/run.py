@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 
+from ..sources.shared import new_path
+
 
 def drained(stream: DataFrame) -> DataFrame:
-    """Run a streaming frame over all its input that is there, and read what it appended. Tables and state go to the shared folder
-    that the session names in spark.checkpoint.dir; only a local session may do without."""
+    """Run a streaming frame over all its input that is there, and read what it appended; rows and state go to the shared folder."""
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='trendloom-')}"
-    path = f"{folder.rstrip('/')}/trendloom-streams/{uuid.uuid4().hex}"
+    path = new_path(spark, "stream")
     q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
