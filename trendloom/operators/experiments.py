@@ -6,12 +6,15 @@ import math
 import time
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.formula import Formula
 from ..sources import generators as G
+from . import balance as B
 from . import fit as FT
 from . import lsm
 
@@ -106,6 +109,30 @@ def complexity(series: DataFrame, expression: str, ranks: list[int], noise_coeff
     return perform(wide.withColumns({"size": F.col("n"), "noise_coeff": F.lit(noise_coeff)}), expression, numeric=numeric, seed=seed)
 
 
+def manual_balance(series: DataFrame, expression: str, rank: int, main_var: str = "t") -> DataFrame:
+    """series_id, stage, params, error: the raw balance against the first `rank` coefficients of a polynomial of one more.
+
+    Stage 'first' balances as many orders as there are parameters, stage 'after' all of them by least squares from there.
+    """
+    formula = Formula(expression, main_var)
+    m = len(formula.params)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for key, c in zip(b.series_id, b.coeffs):
+                for stage, used, over in (("first", m, False), ("after", rank, True)):
+                    try:
+                        if c is None:
+                            raise B.BalanceError("too few samples")
+                        rows.append((key, stage, B.solve(formula, np.array(c[:used], float), False, over).tolist(), None))
+                    except (B.BalanceError, ValueError) as e:
+                        rows.append((key, stage, None, str(e)))
+            yield pd.DataFrame(rows, columns=["series_id", "stage", "params", "error"])
+
+    return lsm.fit(series, rank + 1).select("series_id", "coeffs").mapInPandas(run, "series_id string, stage string, params array<double>, error string")
+
+
 def deviation_by_noise(series: DataFrame, rank: int, sigmas: list[float], seed: int = 1) -> DataFrame:
     """series_id, sigma, mean, variance and deviation of how far a polynomial fit of the noisy series is from the ideal one."""
     levels = series.withColumn("sigma", F.explode(F.array(*[F.lit(float(v)) for v in sigmas])))

@@ -521,6 +521,25 @@ def dsbi(spark: SparkSession, d: str) -> DataFrame:
     return _found(FT.dsbi_fit(s, B.CLOSED["sincos_one"][0], rank=7), B.CLOSED["sincos_one"][0])
 
 
+_MANUAL = 1460
+
+
+@query(f"""WITH {curve_sql('transcendental1', _MANUAL)}, no AS (SELECT series_id, x, n, y + {normal_sql(1, 'series_id', 'x')} * 1.0 AS y FROM cu), {orthogonal('no', 7)}, w AS (SELECT *, sqrt(-2 * c2 / c0) AS a1 FROM o)
+SELECT series_id, {_sig('(c1 / a1)', 4)} AS a0, {_sig('a1', 4)} AS a1, {_sig('c0', 4)} AS a2 FROM w""")
+def manual_balance_first(spark: SparkSession, d: str) -> DataFrame:
+    """The first equations of a balance of rank 6 against a polynomial of degree 6."""
+    r = X.manual_balance(G.add_noise(G.curve(spark, "transcendental1", _MANUAL), 0.0, 1.0), B.CLOSED["sincos_one"][0], 6)
+    return r.where("stage = 'first'").select("series_id", *[_significant(F.col("params")[i], 4).alias(f"a{i}") for i in range(3)])
+
+
+@query(_truth("wave", a0=9.5, a1=0.05, a2=7.8).replace("NULL::VARCHAR AS error, ", "'after' AS stage, NULL::VARCHAR AS error, "))
+def manual_balance(spark: SparkSession, d: str) -> DataFrame:
+    """All equations of a balance of rank 6; the series is the formula's own up to degree 6."""
+    s = G.from_formula(spark, "wave", _taylor("sincos_one", [9.5, 0.05, 7.8], 7), 40)
+    r = X.manual_balance(s, B.CLOSED["sincos_one"][0], 6).where("stage = 'after'")
+    return r.select("series_id", "stage", "error", *[_significant(F.col("params")[i], 4).alias(f"a{i}") for i in range(3)])
+
+
 @query("SELECT 'transcendental1' AS series_id, 'the balance has no real solution' AS error, NULL::VARCHAR AS a0, NULL::VARCHAR AS a1, NULL::VARCHAR AS a2")
 def nonline_unsolvable(spark: SparkSession, d: str) -> DataFrame:
     """Over more than a period the polynomial's curvature has the wrong sign; the error is told, and nothing else."""
