@@ -42,7 +42,7 @@ BEST = 4
 BYTE_SCORE = -14_000_000
 _NONE = -(1 << 60)
 #: Stretches that a worker keeps.
-CACHE = 2_000_000
+CACHE = 1_000_000
 #: Characters from which on a stretch's scores go to arrays.
 LONG = 4096
 
@@ -64,9 +64,8 @@ class Pieces:
                 rank = -proc.get_score(i)
                 self.score[name] = (-round(1e6 * math.log((rank if rank < 1e8 else 1) + 2)), i)
         self.longest = max(map(len, self.score))
-        self.begun = {n[:k] for n in self.score for k in range(1, len(n) + 1)}
         #: The score of a piece, 1 of what only begins pieces.
-        self.table = {n: self.score[n][0] if n in self.score else 1 for n in self.begun}
+        self.table = {n[:k]: 1 for n in self.score for k in range(1, len(n))} | {n: e for n, (e, _) in self.score.items()}
         self.starts = np.concatenate([[0], np.cumsum([len(t) for t in text])])
         self.text = np.frombuffer(b"".join(text), np.uint8)
 
@@ -78,7 +77,7 @@ class Pieces:
             return
         for k in range(i + 1, len(text) + 1):
             piece = text[i:k]
-            if piece not in self.begun:
+            if piece not in self.table:
                 return
             found = self.score.get(piece)
             if found:

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS = 1000
 #: This process's part of the shared folder; it is removed when the process ends.
 _OWN = uuid.uuid4().hex
 _registered: set[str] = set()
@@ -48,11 +50,23 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of ROWS rows at most: rows are texts, of which ten thousand take more memory than a task needs at a time."""
+    found = spark.conf.get(BATCHES)
+    spark.conf.set(BATCHES, str(min(int(found), ROWS) if int(found) > 0 else ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCHES, found)
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back, so a lost executor costs no recomputation before it."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._trendloom_path = path
     return back
