@@ -27,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
 from . import kernel as K
+from .nbest import unmarked
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -41,7 +41,7 @@ AHEAD = 64
 #: Bytes of a part of a long row.
 PART = 1 << 20
 #: States (of some hundred bytes each) and pair tests that a worker keeps; beyond, they are made anew when met.
-MAX_STATES = 400_000
+MAX_STATES = 300_000
 MAX_FITS = 500_000
 #: Stretches, and bytes of them, whose maps a worker keeps.
 MAX_WORDS = 3_000_000
@@ -322,9 +322,9 @@ def count_tokens(docs: DataFrame, keep_columns: list[str], text: str = "text", m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = worker_counts(model)
         for b in batches:
-            column = b.column(b.num_columns - 1).fill_null("")
-            size, tokens = [pc.binary_length(column).to_numpy().astype(np.int64)], []
-            for _, raw, off in K.slices(pc.replace_substring(column, MARK, " "), PART):  # a mark in a text stands for a space
+            column = b.column(b.num_columns - 1)
+            size, tokens = [np.diff(K.string_bytes(column)[1])], []
+            for raw, off in unmarked(column, PART):  # a mark in a text stands for a space
                 tokens.append(count_slice(counts, raw, off) if len(raw) <= PART else np.array([count_row(counts, raw)]))
             cols = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (size, tokens)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*b.schema.names[:-1], "n_bytes", "n_tokens"])

@@ -42,7 +42,9 @@ BEST = 4
 BYTE_SCORE = -14_000_000
 _NONE = -(1 << 60)
 #: Stretches that a worker keeps.
-CACHE = 1_000_000
+CACHE = 700_000
+#: Rows whose marks are replaced at a time.
+ROWS = 500
 #: Characters from which on a stretch's scores go to arrays.
 LONG = 4096
 
@@ -279,6 +281,13 @@ def _smallest(g: np.ndarray, n: int) -> np.ndarray:
     return at[np.argsort(g[at], kind="stable")[:n]]
 
 
+def unmarked(column: pa.Array, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, offsets) of runs of rows, marks in the texts as spaces; a few rows are made over at a time."""
+    for i in range(0, len(column), ROWS):
+        for _, raw, off in K.slices(pc.replace_substring(column.slice(i, ROWS).fill_null(""), MARK, " "), limit):
+            yield raw, off
+
+
 def checked(known: Stretches, raw: np.ndarray, off: np.ndarray, count: int) -> list[tuple[dict, bytes]]:
     """encode_slice with each row's decoded bytes; a row that doesn't decode to itself met a stretch of the same hash and is encoded again."""
     out = []
@@ -308,11 +317,9 @@ def encode(docs: DataFrame, keep_columns: list[str], text: str = "text", count:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = worker_stretches(model)
         for b in batches:
-            column = b.column(b.num_columns - 1)
-            column = pc.replace_substring(column.fill_null(""), MARK, " ")
             kept = b.columns[:-1]
             at = 0
-            for row, raw, off in K.slices(column, 2 * K.SLICE):  # each slice looks all its stretches up at once
+            for raw, off in unmarked(b.column(b.num_columns - 1), 2 * K.SLICE):  # each slice looks all its stretches up at once
                 made, texts = zip(*checked(known, raw, off, count))
                 lens = np.array([len(m["ids"]) for m in made])
                 flat = np.concatenate([m["ids"] for m in made]) if len(made) else np.zeros(0, np.int32)
