@@ -23,6 +23,20 @@ def with_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, total
     return rows.join(heavy, key).unionByName(rest.join(light, key, how))
 
 
+#: Bits of the filter of known ids; as words of 64 bits it is a table of a quarter of a million rows at most, whatever the corpus.
+FILTER_BITS = 1 << 24
+
+
+def perhaps_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows (with an id) and whether the id may be one of ids, as `perhaps`: true for all that are, and for few others while ids are
+    few beside FILTER_BITS. So rows that surely have no partner needn't move to a join."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    place = lambda b: F.shiftright(b, 6).cast("int")
+    known = ids.select(bit.alias("bit")).groupBy(place(F.col("bit")).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("bits"))
+    told = rows.withColumn("bit", bit).withColumn("word", place(F.col("bit"))).join(F.broadcast(known), "word", "left")
+    return told.withColumn("perhaps", F.coalesce(F.expr("shiftrightunsigned(bits, cast(bit % 64 AS int)) & 1L"), F.lit(0)) == 1).drop("bit", "word", "bits")
+
+
 def _least(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
