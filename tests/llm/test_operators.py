@@ -422,6 +422,49 @@ def test_loser_tree_merges_front_coded_runs():
             assert a * 8 == shared
 
 
+def test_runs_are_cut_once_a_partition(spark, monkeypatch, tmp_path):
+    """A task's run makes a piece for each partition, however many ranges a partition is merged in."""
+    real, log, n = suffix_runs._blobs, tmp_path / "pieces", 16
+    at = str(log)
+
+    def counted(rows):
+        with open(at, "a") as f:
+            f.write("".join("p" for kind, *_ in rows if kind == 0))
+        return real(rows)
+
+    rng = random.Random(5)
+    some = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=300)) for _ in range(24)]
+    rows = [(i, "".join(rng.choices(some, k=4))) for i in range(64)]
+    monkeypatch.setattr(suffix_runs, "_blobs", counted)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id")
+        got = by_text(suffix_runs.remove_repeats(d, ["doc_id"]), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == passages(rows)
+    assert 4 * n <= len(log.read_text()) <= (4 + n) * n  # four tasks offer hashes, at most n offer windows
+
+
+@pytest.mark.parametrize("k", [1, 5, 40])
+def test_pieces_decoded_together_merge_by_range(k):
+    rng = np.random.default_rng(3)
+    pieces, every = [], []
+    for _ in range(k):
+        m = rng.integers(97, 99, (int(rng.integers(1, 60)), suffix_runs.WIDTH)).astype(np.uint8)
+        m[:, 12:] = 97
+        m[:, suffix_runs.WIDTH - 2], m[:, -1] = 1, 0
+        m = m[np.argsort(suffix_runs.as_strings(m), kind="stable")]
+        pieces.append(suffix_runs.pack_run(m, np.full(len(m), len(pieces)), np.arange(len(m)), np.arange(len(m))))
+        every += [(x.tobytes(), len(pieces) - 1) for x in m]
+    bounds = np.array([b"a" * 4 + b"b", b"ab", b"b" * 3], f"S{suffix_runs.WIDTH}")
+    got = []
+    for runs in suffix_runs.runs_by_range(pieces, bounds):
+        got += [(run.matrix[i].tobytes(), run.ids[i]) for _, run, i in suffix_runs.merged(runs)]
+    assert [x for x, _ in got] == sorted(x for x, _ in every) and sorted(got) == sorted(every)
+
+
 # ------------------------------------------------------------------ 6
 def test_mixing_keeps_all_and_meets_its_limits(docs, empty):
     out = mixing.mix(docs, docs.columns).collect()
