@@ -447,6 +447,14 @@ def test_runs_are_cut_once_a_partition(spark, monkeypatch, tmp_path):
     assert 4 * n <= len(log.read_text()) <= (4 + n) * n  # four tasks offer hashes, at most n offer windows
 
 
+def test_hashes_of_minimisers_are_dealt_evenly():
+    raw = np.random.default_rng(6).integers(0, 256, 300_000).astype(np.uint8)
+    w = suffix_runs.Windows(raw, np.array([0, len(raw)]), 50)
+    n = np.bincount(np.searchsorted(suffix_runs.hash_edges(20, 50 - suffix_runs.GRAM + 1), w.h, "right"), minlength=20)
+    assert len(n) == 20 and n.min() > 0.85 * n.mean() and n.max() < 1.15 * n.mean()
+    assert not len(suffix_runs.hash_edges(1, 27))
+
+
 @pytest.mark.parametrize("k", [1, 5, 40])
 def test_pieces_decoded_together_merge_by_range(k):
     rng = np.random.default_rng(3)
